@@ -1,14 +1,660 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
+
+The trees of customers, orders and lines (sources/orders_tree.py) exercise
+selectors, axes, text, ranges and edits, with SQL written from keys instead of
+intervals.  pages exercises the HTML parser, events the event operators, documents
+the functions on character data.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import checks
+from ..functions import columns as fn
+from ..operators import axes, edits, events, ranges, shadow, text, traversal
+from ..sources import html
+from ..sources.orders_tree import LINE_ORDER, PRELUDE, orders_tree
+from . import css
+from .compile import closest, matches, query_selector, query_selector_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+KEY = ("doc_id", "node_id")
+C = "SELECT c_custkey AS doc_id, 1::BIGINT AS node_id FROM cust"
+O = "SELECT o_custkey AS doc_id, pre AS node_id FROM ord"  # noqa: E741
+L = "SELECT o_custkey AS doc_id, pre AS node_id FROM line"
+
+
+def query(name: str, sql: str | None = None, *, tree: bool = False):
+    """Register a query; ``tree`` puts the SQL of the order trees before its own."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = (PRELUDE if tree else "") + sql
+        return f
+
+    return put
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select(*KEY)
+
+
+# -- selectors
+
+SELECTORS = {
+    "css_type": ("return", f"{L} WHERE name = 'return'"),
+    "css_universal": ("*", f"{C} UNION ALL {O} UNION ALL {L}"),
+    "css_id": ("#o7", f"{O} WHERE o_orderkey = 7"),
+    "css_class": (".building", f"{C} WHERE lower(c_mktsegment) = 'building'"),
+    "css_attribute_present": ("[priority]", O),
+    "css_attribute_equal": ("[status=F]", f"{O} WHERE o_orderstatus = 'F' UNION ALL {L} WHERE l_linestatus = 'F'"),
+    "css_attribute_prefix": ("order[priority^='1']", f"{O} WHERE o_orderpriority LIKE '1%'"),
+    "css_attribute_suffix": ("order[priority$=LOW]", f"{O} WHERE o_orderpriority LIKE '%LOW'"),
+    "css_attribute_substring": ("order[priority*=MED]", f"{O} WHERE o_orderpriority LIKE '%MED%'"),
+    "css_attribute_word": ("order[priority~='1-URGENT']", f"{O} WHERE o_orderpriority = '1-URGENT'"),
+    "css_attribute_dash": ("order[priority|='1']", f"{O} WHERE o_orderpriority = '1' OR o_orderpriority LIKE '1-%'"),
+    "css_attribute_flag": ("customer[class=BUILDING i]", f"{C} WHERE lower(c_mktsegment) = 'building'"),
+    "css_compound": ("order.f[priority='1-URGENT']", f"{O} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
+    "css_list": ("customer:empty, order:empty", f"{C} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL {O} WHERE n = 0"),
+    "css_root": (":root", C),
+    "css_empty": ("order:empty", f"{O} WHERE n = 0"),
+    "css_descendant": ("customer.building return", f"{L} WHERE name = 'return' AND o_custkey IN (SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building')"),
+    "css_child": ("order[status=F] > return", f"{L} WHERE name = 'return' AND o_orderstatus = 'F'"),
+    "css_next_sibling": ("return + item", f"{L} a WHERE name = 'item' AND EXISTS (SELECT 1 FROM line b WHERE b.l_orderkey = a.l_orderkey AND b.i = a.i - 1 AND b.name = 'return')"),
+    "css_later_sibling": ("return ~ item", f"{L} a WHERE name = 'item' AND i > (SELECT min(i) FROM line b WHERE b.l_orderkey = a.l_orderkey AND b.name = 'return')"),
+    "css_chain": (".building > order:first-child > item + return", f"{L} a WHERE name = 'return' AND k = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building') AND EXISTS (SELECT 1 FROM line b WHERE b.l_orderkey = a.l_orderkey AND b.i = a.i - 1 AND b.name = 'item')"),
+    "css_has_child": ("order:has(> return)", f"{O} WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
+    "css_has_descendant": ("customer:has(return[quantity='50'])", f"{C} WHERE c_custkey IN (SELECT o_custkey FROM line WHERE name = 'return' AND l_quantity::INT = 50)"),
+    "css_has_sibling": ("item:has(+ return)", f"{L} a WHERE name = 'item' AND EXISTS (SELECT 1 FROM line b WHERE b.l_orderkey = a.l_orderkey AND b.i = a.i + 1 AND b.name = 'return')"),
+    "css_has_later": ("item:has(~ return)", f"{L} a WHERE name = 'item' AND EXISTS (SELECT 1 FROM line b WHERE b.l_orderkey = a.l_orderkey AND b.i > a.i AND b.name = 'return')"),
+    "css_not": ("order:not(:has(return))", f"{O} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
+    "css_not_simple": ("order:not(.f, [priority='5-LOW'])", f"{O} WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW'"),
+    "css_is": ("order:is(.f, .o) > :where(item, return):first-child", f"{L} WHERE o_orderstatus IN ('F', 'O') AND i = 1"),
+    "css_nth_child": ("item:nth-child(2n+1)", f"{L} WHERE name = 'item' AND i % 2 = 1"),
+    "css_nth_child_negative": ("item:nth-child(-n+3)", f"{L} WHERE name = 'item' AND i <= 3"),
+    "css_nth_last_child": ("order:nth-last-child(2)", f'{O} WHERE "of" - k + 1 = 2'),
+    "css_first_last_child": ("order:first-child, order:last-child", f'{O} WHERE k = 1 OR k = "of"'),
+    "css_only_child": ("item:only-child, return:only-child", f"{L} WHERE n = 1"),
+    "css_nth_of_type": ("return:nth-of-type(2)", f"{L} WHERE name = 'return' AND t = 2"),
+    "css_nth_last_of_type": ("return:nth-last-of-type(1)", f"{L} WHERE name = 'return' AND t = t_n"),
+    "css_first_of_type": ("return:first-of-type", f"{L} WHERE name = 'return' AND t = 1"),
+    "css_only_of_type": ("return:only-of-type", f"{L} WHERE name = 'return' AND t_n = 1"),
+    "css_nth_of": ("item:nth-child(2 of [flag=N])", "SELECT o_custkey AS doc_id, pre AS node_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS r FROM line WHERE l_returnflag = 'N') WHERE r = 2 AND name = 'item'"),
+    "css_nth_last_of": ("item:nth-last-child(1 of [status=O])", "SELECT o_custkey AS doc_id, pre AS node_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i DESC) AS r FROM line WHERE l_linestatus = 'O') WHERE r = 1 AND name = 'item'"),
+    "css_pseudo_element": ("order::before", f"{O} WHERE false"),
+    "css_unknown_pseudo": ("order:visited", f"{O} WHERE false"),
+}
+
+
+def _selector(selector: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _keys(query_selector_all(orders_tree(spark, sf_dir), selector))
+
+
+for _name, (_selector_text, _sql) in SELECTORS.items():
+    query(_name, _sql, tree=True)(_selector(_selector_text))
+
+
+@query("query_selector_first", "SELECT o_custkey AS doc_id, min(pre) AS node_id FROM line WHERE name = 'return' GROUP BY 1", tree=True)
+def _first(spark, sf_dir):
+    return _keys(query_selector(orders_tree(spark, sf_dir), "return"))
+
+
+@query("scoped_selector", f"{L} WHERE name = 'return' AND k = 1", tree=True)
+def _scoped(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    scope = nodes.filter("local_name = 'order' and elem_idx = 1").select(*KEY)
+    return _keys(query_selector_all(nodes, ":scope > return", scope=scope))
+
+
+@query("element_matches", f"SELECT o_custkey AS doc_id, pre AS node_id, o_orderstatus = 'F' AS matches FROM ord", tree=True)
+def _matches(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return matches(nodes, "customer > order.f").filter("local_name = 'order'").select(*KEY, "matches")
+
+
+@query("element_closest", "SELECT o_custkey AS doc_id, pre AS node_id, CASE WHEN o_orderstatus = 'F' THEN o_pre END AS closest FROM line", tree=True)
+def _closest(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return closest(nodes, "order.f").join(nodes.filter("local_name in ('item', 'return')").select(*KEY), list(KEY), "left_semi")
+
+
+@query("state_pseudo_classes", f"{O} WHERE k = 1 UNION ALL {C} WHERE c_custkey IN (SELECT o_custkey FROM orders)", tree=True)
+def _state(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    state = nodes.filter("local_name = 'order' and elem_idx = 1").select("doc_id", F.col("node_id").alias("active_element"), F.col("node_id").alias("hover"), F.lit(None).cast("long").alias("active"), F.lit(None).cast("string").alias("fragment"))
+    return _keys(query_selector_all(nodes, ":focus-within:hover", state=state))
+
+
+# -- axes, projections and order
+
+
+@query("axis_children", "SELECT o_custkey AS doc_id, o_pre AS parent_id, pre AS node_id FROM line WHERE o_orderstatus = 'F'", tree=True)
+def _children(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return axes.children(nodes, nodes.filter(F.array_contains("class_tokens", "f")).select(*KEY), elements=True).select("doc_id", "parent_id", "node_id")
+
+
+@query("axis_ancestors", """
+SELECT o_custkey AS doc_id, pre AS node_id, o_pre AS ancestor_id, 1 AS distance FROM line WHERE name = 'return'
+UNION ALL SELECT o_custkey, pre, 1, 2 FROM line WHERE name = 'return' UNION ALL SELECT o_custkey, pre, 0, 3 FROM line WHERE name = 'return'""", tree=True)
+def _ancestors(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return axes.ancestors(nodes, nodes.filter("local_name = 'return'").select(*KEY))
+
+
+@query("axis_descendants", f"{L} WHERE k = 1 UNION ALL SELECT o_custkey, pre + 1 FROM line WHERE k = 1", tree=True)
+def _descendants(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return _keys(axes.descendants(nodes, nodes.filter("local_name = 'order' and elem_idx = 1").select(*KEY)))
+
+
+@query("axis_siblings", "SELECT o_custkey AS doc_id, pre AS node_id, lag(pre) OVER w AS previous_id, lead(pre) OVER w AS next_id FROM ord WINDOW w AS (PARTITION BY o_custkey ORDER BY k)", tree=True)
+def _siblings(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir).filter("local_name = 'order'")
+    return axes.siblings(nodes, elements=True)
+
+
+@query("axis_first_last_child", "SELECT o_custkey AS doc_id, o_pre AS node_id, min(pre) AS first_id, max(pre) AS last_id FROM line GROUP BY 1, 2", tree=True)
+def _first_last(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir).filter("local_name in ('item', 'return')")
+    return axes.first_and_last(nodes, elements=True)
+
+
+@query("child_counts", "SELECT o_custkey AS doc_id, pre AS node_id, n AS child_element_count, n > 0 AS has_child_nodes FROM ord", tree=True)
+def _counts(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return axes.child_counts(nodes).join(nodes.filter("local_name = 'order'").select(*KEY), list(KEY), "left_semi")
+
+
+@query("elements_by_tag_name", L + " WHERE name = 'item'", tree=True)
+def _by_tag(spark, sf_dir):
+    return _keys(axes.by_tag_name(orders_tree(spark, sf_dir), "item"))
+
+
+@query("elements_by_class_name", O + " WHERE o_orderstatus = 'P'", tree=True)
+def _by_class(spark, sf_dir):
+    return _keys(axes.by_class_names(orders_tree(spark, sf_dir), "p"))
+
+
+@query("elements_by_name", f"{C} WHERE c_name = (SELECT min(c_name) FROM customer)", tree=True)
+def _by_name(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    # The name is a constant of the data: the first customer's.
+    first = _read(spark, sf_dir, "customer").agg(F.min("c_name").alias("c_name")).first()[0]
+    return _keys(axes.by_name(nodes, first))
+
+
+@query("element_by_id", f"{O} WHERE o_orderkey = 32", tree=True)
+def _by_id(spark, sf_dir):
+    return _keys(axes.by_id(orders_tree(spark, sf_dir), "o32"))
+
+
+@query("document_position", """
+SELECT o_custkey AS doc_id, o_pre AS node_id, pre AS other_id, 20 AS position FROM line
+UNION ALL SELECT a.o_custkey, a.pre, b.pre, 4 FROM ord a JOIN ord b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1""", tree=True)
+def _position(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    lines = nodes.filter("local_name in ('item', 'return')").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("other_id"))
+    next_ = axes.siblings(nodes.filter("local_name = 'order'")).filter("next_id is not null").select("doc_id", "node_id", F.col("next_id").alias("other_id"))
+    return axes.compare_position(nodes, lines.unionByName(next_))
+
+
+@query("node_contains", "SELECT o_custkey AS doc_id, o_pre AS node_id, pre AS other_id, true AS contains FROM line UNION ALL SELECT o_custkey, pre, 1, false FROM ord", tree=True)
+def _contains(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    lines = nodes.filter("local_name in ('item', 'return')").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("other_id"))
+    ups = nodes.filter("local_name = 'order'").select("doc_id", "node_id", F.lit(1).cast("long").alias("other_id"))
+    return axes.contains(nodes, lines.unionByName(ups))
+
+
+@query("common_ancestor", "SELECT o_custkey AS doc_id, min(pre) AS node_id, max(pre) AS other_id, CASE WHEN min(o_pre) = max(o_pre) THEN CASE WHEN count(*) = 1 THEN min(pre) ELSE min(o_pre) END ELSE 1 END AS ancestor_id FROM line GROUP BY 1", tree=True)
+def _common(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    pairs = nodes.filter("local_name in ('item', 'return')").groupBy("doc_id").agg(F.min("node_id").alias("node_id"), F.max("node_id").alias("other_id"))
+    return axes.common_ancestor(nodes, pairs)
+
+
+@query("node_projections", """
+SELECT o_custkey AS doc_id, pre AS node_id, 1 AS node_type, upper(name) AS node_name, l_returnflag AS flag, true AS has_flag, 'flag,status,quantity' AS names FROM line
+UNION ALL SELECT o_custkey, pre + 1, 3, '#text', NULL, false, NULL FROM line""", tree=True)
+def _projections(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir).filter("depth >= 3")
+    return nodes.select(*KEY, "node_type", fn.node_name().alias("node_name"), fn.get_attribute("flag").alias("flag"), fn.has_attribute("flag").alias("has_flag"), F.array_join(fn.attribute_names(), ",").alias("names"))
+
+
+@query("attribute_rows", "SELECT o_custkey AS doc_id, pre AS node_id, unnest(['flag', 'status', 'quantity']) AS qname, unnest([l_returnflag, l_linestatus, l_quantity::INT::VARCHAR]) AS value FROM line", tree=True)
+def _attribute_rows(spark, sf_dir):
+    return axes.attributes(orders_tree(spark, sf_dir).filter("depth = 3")).select(*KEY, "qname", "value")
+
+
+@query("memberships", """
+SELECT o_custkey AS doc_id, pre AS node_id, unnest(['tag', 'id', 'class', 'attr', 'attr', 'attr', 'attr']) AS kind,
+  unnest(['order', 'o' || o_orderkey, lower(o_orderstatus), 'id', 'class', 'status', 'priority']) AS name FROM ord""", tree=True)
+def _memberships(spark, sf_dir):
+    return axes.memberships(orders_tree(spark, sf_dir).filter("local_name = 'order'"))
+
+
+@query("inherited_attribute", "SELECT o_custkey AS doc_id, pre AS node_id, o_orderpriority AS value FROM line", tree=True)
+def _inherited(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return axes.inherited_attribute(nodes, "priority").join(nodes.filter("depth = 3").select(*KEY), list(KEY), "left_semi")
+
+
+@query("document_element", C, tree=True)
+def _document_element(spark, sf_dir):
+    return _keys(axes.document_element(orders_tree(spark, sf_dir)))
+
+
+@query("node_roots", "SELECT o_custkey AS doc_id, pre AS node_id, 0::BIGINT AS root_id, true AS is_connected FROM ord", tree=True)
+def _roots(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return axes.root_node(nodes).join(nodes.filter("local_name = 'order'").select(*KEY), list(KEY), "left_semi")
+
+
+@query("show_mask", "SELECT o_custkey AS doc_id, pre + 1 AS node_id FROM line", tree=True)
+def _shown(spark, sf_dir):
+    return orders_tree(spark, sf_dir).filter(fn.shown(fn.show_mask(3, 8))).select(*KEY)
+
+
+# -- text and markup
+
+
+@query("text_content", "SELECT o_custkey AS doc_id, pre AS node_id, coalesce(t, '') AS text FROM ord LEFT JOIN (SELECT l_orderkey AS lk, string_agg(l_partkey::VARCHAR, '' ORDER BY i) AS t FROM line GROUP BY 1) ON lk = o_orderkey", tree=True)
+def _text_content(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return text.text_content(nodes, nodes.filter("local_name = 'order'").select(*KEY))
+
+
+_LINE_HTML = "'<' || name || ' flag=\"' || l_returnflag || '\" status=\"' || l_linestatus || '\" quantity=\"' || l_quantity::INT || '\">' || l_partkey || '</' || name || '>'"
+
+
+@query("outer_html", f"""
+SELECT o_custkey AS doc_id, pre AS node_id, '<order id="o' || o_orderkey || '" class="' || lower(o_orderstatus) || '" status="' || o_orderstatus || '" priority="' || o_orderpriority || '">' || coalesce(t, '') || '</order>' AS html
+FROM ord LEFT JOIN (SELECT l_orderkey AS lk, string_agg({_LINE_HTML}, '' ORDER BY i) AS t FROM line GROUP BY 1) ON lk = o_orderkey""", tree=True)
+def _outer(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return text.outer_html(nodes, nodes.filter("local_name = 'order'").select(*KEY))
+
+
+@query("inner_html", f"SELECT o_custkey AS doc_id, pre AS node_id, coalesce(t, '') AS html FROM ord LEFT JOIN (SELECT l_orderkey AS lk, string_agg({_LINE_HTML}, '' ORDER BY i) AS t FROM line GROUP BY 1) ON lk = o_orderkey", tree=True)
+def _inner(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    return text.inner_html(nodes, nodes.filter("local_name = 'order'").select(*KEY))
+
+
+@query("equal_subtrees", "SELECT a.o_custkey AS doc_id, a.pre AS node_id, b.o_custkey AS other_doc, b.pre AS other_id, (a.name, a.l_returnflag, a.l_linestatus, a.l_quantity::INT, a.l_partkey) = (b.name, b.l_returnflag, b.l_linestatus, b.l_quantity::INT, b.l_partkey) AS equal FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1", tree=True)
+def _equal(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    near = axes.siblings(nodes.filter("depth = 3")).filter("next_id is not null").select("doc_id", "node_id", F.col("doc_id").alias("other_doc"), F.col("next_id").alias("other_id"))
+    return text.is_equal(nodes, near)
+
+
+@query("range_text", """
+SELECT o_custkey AS range_id, substring(string_agg(l_partkey::VARCHAR, '' ORDER BY i), 2) AS text FROM line WHERE k = 1 GROUP BY 1""", tree=True)
+def _range_text(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    lines = nodes.filter("kind = 'text'").join(nodes.filter("depth = 3").select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("order_id")), ["doc_id", "parent_id"])
+    first = nodes.filter("local_name = 'order' and elem_idx = 1").select("doc_id", F.col("node_id").alias("order_id"))
+    mine = lines.join(first, ["doc_id", "order_id"]).groupBy("doc_id").agg(F.min("node_id").alias("start_id"), F.max_by(F.struct("node_id", F.char_length("value").alias("n")), "pre").alias("e"))
+    r = mine.select(F.col("doc_id").alias("range_id"), "doc_id", "start_id", F.lit(1).alias("start_off"), F.col("e.node_id").alias("end_id"), F.col("e.n").alias("end_off"))
+    return ranges.to_text(nodes, r)
+
+
+@query("range_compare", 'SELECT a.pre AS range_id, a.o_custkey AS doc_id, b.pre AS other_id, -1 AS "order" FROM ord a JOIN ord b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1', tree=True)
+def _range_compare(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    r = ranges.select_nodes(nodes, nodes.filter("local_name = 'order'").select(*KEY))
+    # Range ids are unique within a document here; the key is both.
+    key = lambda d, n: F.concat_ws(":", d, n)
+    r = r.withColumn("range_id", key("doc_id", "range_id"))
+    pairs = axes.siblings(nodes.filter("local_name = 'order'")).filter("next_id is not null").select(key("doc_id", "node_id").alias("range_id"), key("doc_id", "next_id").alias("other_id"))
+    out = ranges.compare_boundary_points(nodes, r, pairs, "end_to_end")
+    part = lambda c, i: F.element_at(F.split(c, ":"), i).cast("long")
+    return out.select(part("range_id", 2).alias("range_id"), part("range_id", 1).alias("doc_id"), part("other_id", 2).alias("other_id"), "order")
+
+
+@query("range_points", 'SELECT o_custkey AS range_id, o_custkey AS doc_id, pre AS node_id, 0 AS off, CASE WHEN k = 1 THEN 0 ELSE 1 END AS "order" FROM ord', tree=True)
+def _range_points(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    orders_ = nodes.filter("local_name = 'order'")
+    r = ranges.select_nodes(nodes, orders_.filter("elem_idx = 1").select(*KEY)).withColumn("range_id", F.col("doc_id"))
+    return ranges.compare_point(nodes, r, orders_.select(F.col("doc_id").alias("range_id"), "doc_id", "node_id", F.lit(0).alias("off")))
+
+
+@query("tree_walker", """
+SELECT doc_id, node_id, lag(node_id) OVER w AS previous_id, lead(node_id) OVER w AS next_id FROM (
+  SELECT c_custkey AS doc_id, 1::BIGINT AS node_id FROM cust UNION ALL SELECT o_custkey, pre FROM ord WHERE o_orderstatus <> 'F' UNION ALL SELECT o_custkey, pre FROM line WHERE o_orderstatus <> 'F' AND name = 'return')
+WINDOW w AS (PARTITION BY doc_id ORDER BY node_id)""", tree=True)
+def _walker(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    verdict = F.when((F.col("local_name") == "order") & F.array_contains("class_tokens", "f"), traversal.REJECT).when(F.col("local_name") == "item", traversal.SKIP).otherwise(traversal.ACCEPT)
+    seen = traversal.tree_walker(nodes, nodes.filter("local_name = 'customer'").select(*KEY), what_to_show=fn.show_mask(1), filter=verdict)
+    return seen.select(*KEY, "previous_id", "next_id")
+
+
+@query("node_iterator", "SELECT o_custkey AS doc_id, pre + 1 AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY pre) AS position FROM line", tree=True)
+def _iterator(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    out = traversal.node_iterator(nodes, nodes.filter("local_name = 'customer'").select(*KEY), what_to_show=fn.show_mask(3))
+    return out.select(*KEY, F.col("position").cast("long").alias("position"))
+
+
+# -- edits
+
+
+@query("remove_subtrees", """
+, kept AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS r, 2 + coalesce(sum(1 + 2 * n) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM ord WHERE o_orderstatus <> 'F')
+SELECT o_custkey AS doc_id, pre AS node_id, p AS pre, p + 2 * n AS last, r::INT AS elem_idx FROM kept""", tree=True)
+def _remove(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    left = edits.remove_subtrees(nodes, nodes.filter(F.array_contains("class_tokens", "f")).select(*KEY))
+    return left.filter("local_name = 'order'").select(*KEY, "pre", "last", "elem_idx")
+
+
+@query("set_attributes", "SELECT o_custkey AS doc_id, pre AS node_id, CASE WHEN o_orderstatus = 'F' THEN 'yes' END AS done, CASE WHEN o_orderstatus = 'F' THEN 'id,class,status,priority,done' ELSE 'id,class,status,priority' END AS names FROM ord", tree=True)
+def _set_attributes(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    out = edits.set_attribute_where(nodes, F.array_contains("class_tokens", "f"), "done", "yes").filter("local_name = 'order'")
+    return out.select(*KEY, fn.get_attribute("done").alias("done"), F.array_join(fn.attribute_names(), ",").alias("names"))
+
+
+def _order_edits(nodes: DataFrame) -> DataFrame:
+    """Each customer's first order becomes the last, and its second gets a text."""
+    null = F.lit(None)
+    first = nodes.filter("local_name = 'order' and elem_idx = 1").select(
+        "doc_id", F.lit(1).cast("long").alias("seq"), F.lit("append_child").alias("op"), F.col("node_id").alias("target_id"), F.lit(1).cast("long").alias("parent_id"),
+        null.cast("long").alias("reference_id"), null.cast("string").alias("name"), null.cast("string").alias("value"))
+    second = nodes.filter("local_name = 'order' and elem_idx = 2").select(
+        "doc_id", F.lit(2).cast("long").alias("seq"), F.lit("set_attribute").alias("op"), F.col("node_id").alias("target_id"), null.cast("long").alias("parent_id"),
+        null.cast("long").alias("reference_id"), F.lit("seen").alias("name"), F.lit("1").alias("value"))
+    return first.unionByName(second)
+
+
+@query("apply_edits", 'SELECT o_custkey AS doc_id, pre AS node_id, (CASE WHEN k = 1 THEN "of" ELSE k - 1 END)::INT AS elem_idx, CASE WHEN k = 2 THEN \'1\' END AS seen FROM ord', tree=True)
+def _apply(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    out = edits.apply_edits(nodes, _order_edits(nodes)).nodes.filter("local_name = 'order'")
+    return out.select(*KEY, "elem_idx", fn.get_attribute("seen").alias("seen"))
+
+
+@query("edit_mutations", """
+SELECT o_custkey AS doc_id, 1::BIGINT AS seq, 'child_list' AS type, 1::BIGINT AS target_id, NULL AS attribute_name, true AS removed, false AS added FROM ord WHERE k = 1
+UNION ALL SELECT o_custkey, 1, 'child_list', 1, NULL, false, true FROM ord WHERE k = 1
+UNION ALL SELECT o_custkey, 2, 'attributes', pre, 'seen', false, false FROM ord WHERE k = 2""", tree=True)
+def _mutations(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    m = edits.apply_edits(nodes, _order_edits(nodes)).mutations
+    return m.select("doc_id", "seq", "type", "target_id", "attribute_name", (F.size("removed") > 0).alias("removed"), (F.size("added") > 0).alias("added"))
+
+
+@query("observer_records", """
+SELECT c_custkey AS observer_id, o_custkey AS doc_id, 2::BIGINT AS seq, 'attributes' AS type, pre AS target_id, 'seen' AS attribute_name, NULL::VARCHAR AS old_value FROM ord JOIN cust ON c_custkey = o_custkey WHERE k = 2""", tree=True)
+def _records(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    m = edits.apply_edits(nodes, _order_edits(nodes)).mutations
+    t, f = F.lit(True), F.lit(False)
+    o = nodes.filter("local_name = 'customer'").select(
+        F.col("doc_id").alias("observer_id"), "doc_id", F.col("node_id").alias("target_id"), f.alias("child_list"), t.alias("attributes"), f.alias("character_data"), t.alias("subtree"),
+        t.alias("attribute_old_value"), f.alias("character_data_old_value"), F.array(F.lit("seen")).alias("attribute_filter"))
+    return events.route_records(nodes, m, o)
+
+
+@query("check_nodes", "SELECT 0::BIGINT AS doc_id, 0::BIGINT AS node_id, '' AS violation WHERE false")
+def _check(spark, sf_dir):
+    return checks.check_nodes(orders_tree(spark, sf_dir))
+
+
+# -- events: a click on an order's first line for each of a customer's events
+
+
+def _click_events(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    first = nodes.filter("depth = 3").groupBy("doc_id").agg(F.min("node_id").alias("target_id"))
+    t = F.lit(True)
+    return e.join(first, e["user_id"] == first["doc_id"]).select("event_id", "doc_id", "target_id", F.col("event_type").alias("type"), t.alias("bubbles"), t.alias("cancelable"), F.lit(False).alias("composed"), "ts")
+
+
+def _listeners(nodes: DataFrame) -> DataFrame:
+    row = lambda test, seq, capture, action: nodes.filter(test).select(
+        "doc_id", "node_id", F.lit(seq).cast("long").alias("seq"), F.lit("click").alias("type"), F.lit(capture).alias("capture"), F.lit(False).alias("once"), F.lit(False).alias("passive"), F.lit(None).cast("long").alias("signal_id"), F.lit(action).alias("action"))
+    return row("local_name = 'customer'", 1, True, "log").unionByName(row("local_name = 'customer'", 2, False, "log")).unionByName(row("local_name = 'order' and elem_idx = 1", 3, False, events.STOP)).unionByName(row("local_name = 'item' and elem_idx = 1", 4, False, events.PREVENT))
+
+
+_HIT = "SELECT event_id, user_id, f.pre, o_pre, k, i, name FROM events e JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY pre) AS r FROM line) f ON f.o_custkey = user_id AND r = 1 WHERE event_type = 'click'"
+
+
+@query("event_dispatch", f"""
+, hit AS ({_HIT}),
+fire AS (
+  SELECT event_id, user_id AS doc_id, 1::BIGINT AS node_id, 1::BIGINT AS seq, 1 AS phase, 1 AS s FROM hit
+  UNION ALL SELECT event_id, user_id, pre, 4, 2, 2 FROM hit WHERE name = 'item' AND i = 1
+  UNION ALL SELECT event_id, user_id, o_pre, 3, 3, 3 FROM hit WHERE k = 1
+  UNION ALL SELECT event_id, user_id, 1, 2, 3, 4 FROM hit WHERE k <> 1)
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY s) AS fire_ord, doc_id, node_id, seq, phase FROM fire""", tree=True)
+def _dispatch(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    fired = events.dispatch(nodes, _click_events(spark, sf_dir, nodes).filter("type = 'click'"), _listeners(nodes))
+    return fired.select("event_id", F.col("fire_ord").cast("long").alias("fire_ord"), "doc_id", "node_id", "seq", "phase")
+
+
+@query("event_outcome", f", hit AS ({_HIT}) SELECT event_id, NOT (name = 'item' AND i = 1) AS not_prevented FROM hit", tree=True)
+def _outcome(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    e = _click_events(spark, sf_dir, nodes).filter("type = 'click'")
+    return events.outcomes(e, events.dispatch(nodes, e, _listeners(nodes)))
+
+
+@query("event_path", f", hit AS ({_HIT}) SELECT event_id, pre AS node_id, 0::BIGINT AS distance FROM hit UNION ALL SELECT event_id, o_pre, 1 FROM hit UNION ALL SELECT event_id, 1, 2 FROM hit UNION ALL SELECT event_id, 0, 3 FROM hit", tree=True)
+def _path(spark, sf_dir):
+    nodes = orders_tree(spark, sf_dir)
+    e = _click_events(spark, sf_dir, nodes).filter("type = 'click'")
+    return events.composed_path(nodes, e).select("event_id", "node_id", "distance")
+
+
+_FOCUS_SQL = """
+WITH r AS (SELECT user_id AS doc_id, event_id AS request_id, CASE WHEN event_type = 'click' THEN NULL ELSE length(event_type)::BIGINT END AS target_id, ts FROM events),
+c AS (SELECT *, lag(target_id) OVER (PARTITION BY doc_id ORDER BY ts, request_id) AS was FROM r),
+d AS (SELECT * FROM c WHERE target_id IS DISTINCT FROM was)
+SELECT doc_id, request_id, 1 AS ord, 'blur' AS type, was AS target_id, target_id AS related_id FROM d WHERE was IS NOT NULL
+UNION ALL SELECT doc_id, request_id, 2, 'focusout', was, target_id FROM d WHERE was IS NOT NULL
+UNION ALL SELECT doc_id, request_id, 3, 'focus', target_id, was FROM d WHERE target_id IS NOT NULL
+UNION ALL SELECT doc_id, request_id, 4, 'focusin', target_id, was FROM d WHERE target_id IS NOT NULL"""
+
+
+def focus_requests(e: DataFrame) -> DataFrame:
+    """events as focus requests: a click is a blur, another kind focuses the node of its name's length."""
+    target = F.when(F.col("event_type") != "click", F.char_length("event_type").cast("long"))
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("request_id"), target.alias("target_id"), "ts")
+
+
+@query("focus_events", _FOCUS_SQL)
+def _focus(spark, sf_dir):
+    return events.focus_events(focus_requests(_read(spark, sf_dir, "events")))
+
+
+@query("focus_stream", _FOCUS_SQL)
+def _focus_stream(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda e: _streams().focus_stream(focus_requests(e)), "append")
+
+
+@query("window_counts_stream", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _window_counts(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda e: _streams().counts_by_window(e, "1 day"), "complete")
+
+
+@query("toggle_stream", "SELECT user_id AS doc_id, event_id % 2 AS node_id, count(*) % 2 = 1 AS toggled FROM events WHERE event_type = 'click' GROUP BY 1, 2")
+def _toggle_stream(spark, sf_dir):
+    clicks = lambda e: e.filter("event_type = 'click'").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 2).alias("node_id"))
+    return _streamed(spark, sf_dir, lambda e: _streams().toggle_stream(clicks(e)), "update")
+
+
+@query("timers_due", """
+WITH r AS (SELECT user_id AS doc_id, event_id % 3 AS timer_id, CASE event_type WHEN 'click' THEN 'clear' ELSE 'set' END AS op, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts) AS nxt FROM events)
+SELECT doc_id, timer_id, ms + 3600000 AS fired_ms FROM r WHERE op = 'set' AND (nxt IS NULL OR ms + 3600000 < nxt)""")
+def _timers(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "click", "clear").otherwise("set").alias("op"), (F.col("event_id") % 3).alias("timer_id"), F.lit(3_600_000).cast("long").alias("delay_ms"), "ts")
+    return _streams().timers_due(rows, 1 << 60)
+
+
+@query("document_state", """
+SELECT user_id AS doc_id, arg_max(event_id, ts) FILTER (event_type = 'click') AS hover FROM events GROUP BY 1""")
+def _document_state(spark, sf_dir):
+    log = _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts", F.when(F.col("event_type") == "click", "hover").otherwise("other").alias("what"), F.col("event_id").alias("node_id"), F.lit(None).cast("string").alias("text"))
+    return events.document_state(log).select("doc_id", "hover")
+
+
+def _streams():
+    from ..streaming import streams
+
+    return streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Run a streaming plan over the table events to its end; the result as a table."""
+    from ..session import shared_folder
+
+    streams = _streams()
+    streams.use_rocksdb(spark)
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    out = shared_folder(spark, "stream")
+    # The source is the one table: a folder of files, or the files of its name.
+    folder, name = path.rsplit("/", 1)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") and _is_file(spark, path) else "*.parquet")
+    stream = plan(reader.parquet(folder if _is_file(spark, path) else path))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+# -- pages
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """The links in the navigation of each page."""
+    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    found = query_selector_all(nodes, "nav li > a[href]")
+    return found.select(F.col("doc_id").alias("page_id"), fn.get_attribute("href").alias("href")).orderBy("page_id", "href")
+
+
+@query("page_nav_links", """
+SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)(</nav>|$)', 1, 's'), '<li><a href="([^"]*)">', 1)) AS href FROM pages""")
+def _nav_links(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query("page_titles", "SELECT page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '\"') AS title FROM pages")
+def _titles(spark, sf_dir):
+    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    return text.text_content(nodes, _keys(query_selector(nodes, "head > title"))).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
+
+
+@query("page_element_counts")
+def _element_counts(spark, sf_dir):
+    return html.element_names(html.parse_pages(_read(spark, sf_dir, "pages")))
+
+
+@query("page_checks", "SELECT 0::BIGINT AS doc_id, 0::BIGINT AS node_id, '' AS violation WHERE false")
+def _page_checks(spark, sf_dir):
+    return checks.check_nodes(html.parse_pages(_read(spark, sf_dir, "pages")))
+
+
+@query("page_text")
+def _page_text(spark, sf_dir):
+    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    return text.text_content(nodes, _keys(axes.head_or_body(nodes, "body")))
+
+
+@query("page_markup")
+def _page_markup(spark, sf_dir):
+    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    return text.inner_html(nodes, _keys(nodes.filter("kind = 'document'")))
+
+
+@query("page_whole_text")
+def _page_whole_text(spark, sf_dir):
+    return text.whole_text(html.parse_pages(_read(spark, sf_dir, "pages")))
+
+
+@query("page_languages", "SELECT page_id, count(*) FILTER (true) AS n FROM pages WHERE html LIKE '%<html lang=\"fr\">%' GROUP BY 1")
+def _languages(spark, sf_dir):
+    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    return query_selector_all(nodes, "html:lang(fr)").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
+
+
+@query("html_tokens")
+def _tokens(spark, sf_dir):
+    html.register(spark)
+    _read(spark, sf_dir, "pages").createOrReplaceTempView("treeloom_pages")
+    return spark.sql("SELECT page_id, t.ord, t.kind, t.name, t.data FROM treeloom_pages, LATERAL html_tokens(html) t")
+
+
+@query("fragment_nodes", "SELECT conv_id, turn, count(*) AS n FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY 1, 2")
+def _fragments(spark, sf_dir):
+    html.register(spark)
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<p>"), fn.escape_text(F.col("text"))).alias("html"), "text").filter("text <> ''")
+    rows.createOrReplaceTempView("treeloom_turns")
+    return spark.sql("SELECT conv_id, turn, count(*) AS n FROM treeloom_turns, LATERAL parse_fragment(html, 'div') t WHERE t.kind = 'element' GROUP BY 1, 2")
+
+
+# -- character data
+
+
+@query("character_data", """
+SELECT doc_id, length(coalesce(text, '')) AS n, substring(coalesce(text, ''), 1, 5) AS head, 'Oh! ' || coalesce(text, '') AS inserted,
+  substring(coalesce(text, ''), 1, 0) || 'X' || substring(coalesce(text, ''), 3) AS replaced FROM documents""")
+def _character_data(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = F.col("text")
+    return d.select("doc_id", fn.length(t).cast("long").alias("n"), fn.substring_data(t, 0, 5).alias("head"), fn.insert_data(t, 0, "Oh! ").alias("inserted"), fn.replace_data(t, 0, 2, "X").alias("replaced"))
+
+
+@query("escape_text", "SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+def _escape(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", fn.escape_text(F.coalesce("text", F.lit(""))).alias("escaped"))
+
+
+@query("unescape_text", "SELECT doc_id, coalesce(text, '') AS back FROM documents WHERE text NOT LIKE '%&%'")
+def _unescape(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").filter("text not like '%&%'")
+    return d.select("doc_id", html.unescape(fn.escape_text(F.col("text"))).alias("back"))
+
+
+@query("token_lists", """
+SELECT doc_id, lang || ' x' AS added, '' AS removed, CASE WHEN lang = 'en' THEN '' ELSE lang || ' en' END AS toggled FROM documents""")
+def _token_lists(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", "lang", fn.tokens(F.col("lang")).alias("t"))
+    t = F.col("t")
+    gone = F.filter(t, lambda x: x != F.col("lang"))
+    return d.select("doc_id", fn.token_text(fn.token_add(t, "x")).alias("added"), fn.token_text(gone).alias("removed"), fn.token_text(fn.token_toggle(t, "en")).alias("toggled"))
+
+
+@query("selector_round_trip", "SELECT 1 AS n WHERE false")
+def _round_trip(spark, sf_dir):
+    """Selectors whose canonical text does not parse to the same tree."""
+    bad = [s for s, _ in SELECTORS.values() if css.parse(str(css.parse(s))) != css.parse(s)]
+    return spark.range(len(bad)).select(F.lit(1).alias("n"))
+
+
+__all__ = ["LINE_ORDER", "ORACLE_SQL", "QUERIES", "flagship", "shadow"]

@@ -26,15 +26,20 @@ ARROW = pa.schema([
 _ROWS = 8192
 
 
-def node_rows(doc_id: int | None, root: Node, first: int = 0) -> list[tuple]:
-    """Rows in the order of ARROW; trees of template contents follow the tree that refers to them."""
+def node_rows(doc_id: int | None, root: Node, first: int = 0, ids: dict[Node, int] | None = None, extra: dict[Node, dict] | None = None) -> list[tuple]:
+    """Rows in the order of ARROW; trees of template contents follow the tree that refers to them.
+
+    ``ids`` names nodes that keep their identity, else a node's id is its place;
+    ``extra`` has further columns of some nodes.
+    """
+    name = (lambda n, at: at) if ids is None else (lambda n, at: ids[n])
     out: list[list] = []
     waiting = [(root, None)]
     number = first
-    position = {name: i for i, name in enumerate(ARROW.names)}
+    position = {c: i for i, c in enumerate(ARROW.names)}
     while waiting:
         tree, owner = waiting.pop(0)
-        root_id = number
+        root_id = name(tree, number)
         if owner is not None:
             out[owner][position["content_root_id"]] = root_id
         stack: list = [(tree, None, None, 0, 0, (None, None, None, None))]
@@ -49,18 +54,21 @@ def node_rows(doc_id: int | None, root: Node, first: int = 0) -> list[tuple]:
             attrs = n.attrs
             by_name = {a[3]: a[4] for a in attrs}
             elements = [c for c in n.children if c.kind == "element"]
+            own = name(n, number)
             row = [
-                doc_id, number, root_id, parent_id, parent_type, number, number, depth, sib, *ordinals,
+                doc_id, own, root_id, parent_id, parent_type, number, number, depth, sib, *ordinals,
                 sum(1 for c in n.children if c.kind in ("element", "text")), n.kind, node_type, n.name, n.ns,
                 by_name.get("id"), list(dict.fromkeys(by_name["class"].split())) if "class" in by_name else [] if node_type == 1 else None,
                 list(by_name.items()) if node_type == 1 else None,
                 [dict(zip(_ATTR_NAMES, (i, *a))) for i, a in enumerate(attrs)] if node_type == 1 else None,
                 n.value, n.public_id, n.system_id, None, None, None, None, None, None, None,
             ]
+            if extra and n in extra:
+                for c, v in extra[n].items():
+                    row[position[c]] = v
             out.append(row)
             if n.content is not None:
                 waiting.append((n.content, len(out) - 1))
-            own = number
             number += 1
             if n.children:
                 closing.append(row)
