@@ -150,6 +150,10 @@ def test_shadow_and_slots(spark):
     path = events.composed_path(full, e)
     assert {r["seen_target"] for r in path.collect()} == {slot, h}
     assert query_selector_all(full, ":host(div)", scope=None).count() == 1
+    root = full.filter("kind = 'shadow_root'").select("doc_id", "node_id")
+    assert query_selector_all(full, ":host > slot", scope=root, crossing=True).count() == 2
+    assert query_selector_all(full, "body slot[name=a]", scope=root, crossing=True).count() == 1
+    assert query_selector_all(full, ":host > slot", scope=root).count() == 0
     made.unpersist()
     full.unpersist()
 

@@ -97,11 +97,15 @@ class Compiler:
     ``scope`` (doc_id, node_id) holds the query's roots: matches are among their
     descendants and ``:scope`` is they.  ``state`` (doc_id, active_element, hover,
     active, fragment) is the documents' interaction state, ``defined`` (doc_id,
-    local_name) the registered custom elements.
+    local_name) the registered custom elements.  With ``crossing`` the parent of a
+    shadow root's children is the host, as for scopes inside shadow trees.
     """
 
-    def __init__(self, nodes: DataFrame, *, scope: DataFrame | None = None, state: DataFrame | None = None, defined: DataFrame | None = None):
-        self.nodes, self.scope, self.state, self.defined = nodes, scope, state, defined
+    #: Shadow trees in one another that a descendant combinator crosses.
+    NESTED = 4
+
+    def __init__(self, nodes: DataFrame, *, scope: DataFrame | None = None, state: DataFrame | None = None, defined: DataFrame | None = None, crossing: bool = False):
+        self.nodes, self.scope, self.state, self.defined, self.crossing = nodes, scope, state, defined, crossing
         self.elements = nodes.filter(F.col("node_type") == ELEMENT)
 
     # -- lists and combinators
@@ -132,16 +136,33 @@ class Compiler:
     def step(self, left: DataFrame, combinator: str, right: DataFrame) -> DataFrame:
         """The rows of ``right`` that stand to one of ``left`` as the combinator says."""
         keys = left.select(*KEYS)
+        same = [("doc_id", "doc_id"), ("node_id", "node_id")]
         if combinator == " ":
-            return within(right, keys)
+            if not self.crossing:
+                return within(right, keys)
+            parts, over = [within(right, keys).select("doc_id", "node_id")], keys
+            for _ in range(self.NESTED):
+                covered = within(self.nodes.select(*KEYS, "kind", "host_id"), over, inclusive=True)
+                over = self.shadows_of(covered)
+                parts.append(within(right, over.select(*KEYS)).select("doc_id", "node_id"))
+                over = over.select(*KEYS)
+            return semi(right, reduce(DataFrame.unionByName, parts), same)
         if combinator == ">":
-            return semi(right, keys, [("doc_id", "doc_id"), ("parent_id", "node_id")])
+            own = semi(right, keys, [("doc_id", "doc_id"), ("parent_id", "node_id")])
+            if not self.crossing:
+                return own
+            hosted = semi(right, self.shadows_of(keys).select("doc_id", "node_id"), [("doc_id", "doc_id"), ("parent_id", "node_id")])
+            return semi(right, own.select("doc_id", "node_id").unionByName(hosted.select("doc_id", "node_id")), same)
         if combinator == "+":
             shifted = keys.withColumn("elem_idx", F.col("elem_idx") + 1)
             return semi(right, shifted, [("doc_id", "doc_id"), ("parent_id", "parent_id"), ("elem_idx", "elem_idx")])
         first = keys.groupBy("doc_id", "parent_id").agg(F.min("elem_idx").alias("first"))
         return semi(right, first, [("doc_id", "doc_id"), ("parent_id", "parent_id")], (["first"], F.col("_r_first") < right["elem_idx"]))
 
+    def shadows_of(self, hosts: DataFrame) -> DataFrame:
+        """Shadow roots whose host is in ``hosts``."""
+        return semi(self.nodes.filter(F.col("kind") == "shadow_root"), hosts.select("doc_id", "node_id"), [("doc_id", "doc_id"), ("host_id", "node_id")])
+
     def has(self, selector: css.SelectorList, rows: DataFrame) -> DataFrame:
         """The rows of ``rows`` for which a relative selector finds something."""
         parts = []
@@ -427,12 +448,12 @@ def nearest_first(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "form").agg(F.min_by("node_id", "pre").alias("node_id"))
 
 
-def query_selector_all(nodes: DataFrame, selector: str, *, scope: DataFrame | None = None, state: DataFrame | None = None, defined: DataFrame | None = None) -> DataFrame:
+def query_selector_all(nodes: DataFrame, selector: str, *, scope: DataFrame | None = None, state: DataFrame | None = None, defined: DataFrame | None = None, crossing: bool = False) -> DataFrame:
     """The nodes that match ``selector``, each once; with ``scope``, among its descendants.
 
     Order by (doc_id, pre) for document order; it is left to the sink.
     """
-    c = Compiler(nodes, scope=scope, state=state, defined=defined)
+    c = Compiler(nodes, scope=scope, state=state, defined=defined, crossing=crossing)
     ast = css.parse(selector)
     if scope is None:
         return c.select(ast)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import checks
 from ..functions import columns as fn
 from ..operators import axes, edits, events, ranges, shadow, text, traversal
+from ..session import shared_folder, store
 from ..sources import html
 from ..sources.orders_tree import LINE_ORDER, PRELUDE, orders_tree
 from . import css
@@ -112,26 +113,26 @@ def _first(spark, sf_dir):
 
 @query("scoped_selector", f"{L} WHERE name = 'return' AND k = 1", tree=True)
 def _scoped(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     scope = nodes.filter("local_name = 'order' and elem_idx = 1").select(*KEY)
     return _keys(query_selector_all(nodes, ":scope > return", scope=scope))
 
 
 @query("element_matches", f"SELECT o_custkey AS doc_id, pre AS node_id, o_orderstatus = 'F' AS matches FROM ord", tree=True)
 def _matches(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return matches(nodes, "customer > order.f").filter("local_name = 'order'").select(*KEY, "matches")
 
 
 @query("element_closest", "SELECT o_custkey AS doc_id, pre AS node_id, CASE WHEN o_orderstatus = 'F' THEN o_pre END AS closest FROM line", tree=True)
 def _closest(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return closest(nodes, "order.f").join(nodes.filter("local_name in ('item', 'return')").select(*KEY), list(KEY), "left_semi")
 
 
 @query("state_pseudo_classes", f"{O} WHERE k = 1 UNION ALL {C} WHERE c_custkey IN (SELECT o_custkey FROM orders)", tree=True)
 def _state(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     state = nodes.filter("local_name = 'order' and elem_idx = 1").select("doc_id", F.col("node_id").alias("active_element"), F.col("node_id").alias("hover"), F.lit(None).cast("long").alias("active"), F.lit(None).cast("string").alias("fragment"))
     return _keys(query_selector_all(nodes, ":focus-within:hover", state=state))
 
@@ -141,7 +142,7 @@ def _state(spark, sf_dir):
 
 @query("axis_children", "SELECT o_custkey AS doc_id, o_pre AS parent_id, pre AS node_id FROM line WHERE o_orderstatus = 'F'", tree=True)
 def _children(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return axes.children(nodes, nodes.filter(F.array_contains("class_tokens", "f")).select(*KEY), elements=True).select("doc_id", "parent_id", "node_id")
 
 
@@ -149,13 +150,13 @@ def _children(spark, sf_dir):
 SELECT o_custkey AS doc_id, pre AS node_id, o_pre AS ancestor_id, 1 AS distance FROM line WHERE name = 'return'
 UNION ALL SELECT o_custkey, pre, 1, 2 FROM line WHERE name = 'return' UNION ALL SELECT o_custkey, pre, 0, 3 FROM line WHERE name = 'return'""", tree=True)
 def _ancestors(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return axes.ancestors(nodes, nodes.filter("local_name = 'return'").select(*KEY))
 
 
 @query("axis_descendants", f"{L} WHERE k = 1 UNION ALL SELECT o_custkey, pre + 1 FROM line WHERE k = 1", tree=True)
 def _descendants(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return _keys(axes.descendants(nodes, nodes.filter("local_name = 'order' and elem_idx = 1").select(*KEY)))
 
 
@@ -173,7 +174,7 @@ def _first_last(spark, sf_dir):
 
 @query("child_counts", "SELECT o_custkey AS doc_id, pre AS node_id, n AS child_element_count, n > 0 AS has_child_nodes FROM ord", tree=True)
 def _counts(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return axes.child_counts(nodes).join(nodes.filter("local_name = 'order'").select(*KEY), list(KEY), "left_semi")
 
 
@@ -189,7 +190,7 @@ def _by_class(spark, sf_dir):
 
 @query("elements_by_name", f"{C} WHERE c_name = (SELECT min(c_name) FROM customer)", tree=True)
 def _by_name(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     # The name is a constant of the data: the first customer's.
     first = _read(spark, sf_dir, "customer").agg(F.min("c_name").alias("c_name")).first()[0]
     return _keys(axes.by_name(nodes, first))
@@ -204,7 +205,7 @@ def _by_id(spark, sf_dir):
 SELECT o_custkey AS doc_id, o_pre AS node_id, pre AS other_id, 20 AS position FROM line
 UNION ALL SELECT a.o_custkey, a.pre, b.pre, 4 FROM ord a JOIN ord b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1""", tree=True)
 def _position(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     lines = nodes.filter("local_name in ('item', 'return')").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("other_id"))
     next_ = axes.siblings(nodes.filter("local_name = 'order'")).filter("next_id is not null").select("doc_id", "node_id", F.col("next_id").alias("other_id"))
     return axes.compare_position(nodes, lines.unionByName(next_))
@@ -212,7 +213,7 @@ def _position(spark, sf_dir):
 
 @query("node_contains", "SELECT o_custkey AS doc_id, o_pre AS node_id, pre AS other_id, true AS contains FROM line UNION ALL SELECT o_custkey, pre, 1, false FROM ord", tree=True)
 def _contains(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     lines = nodes.filter("local_name in ('item', 'return')").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("other_id"))
     ups = nodes.filter("local_name = 'order'").select("doc_id", "node_id", F.lit(1).cast("long").alias("other_id"))
     return axes.contains(nodes, lines.unionByName(ups))
@@ -220,7 +221,7 @@ def _contains(spark, sf_dir):
 
 @query("common_ancestor", "SELECT o_custkey AS doc_id, min(pre) AS node_id, max(pre) AS other_id, CASE WHEN min(o_pre) = max(o_pre) THEN CASE WHEN count(*) = 1 THEN min(pre) ELSE min(o_pre) END ELSE 1 END AS ancestor_id FROM line GROUP BY 1", tree=True)
 def _common(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     pairs = nodes.filter("local_name in ('item', 'return')").groupBy("doc_id").agg(F.min("node_id").alias("node_id"), F.max("node_id").alias("other_id"))
     return axes.common_ancestor(nodes, pairs)
 
@@ -247,7 +248,7 @@ def _memberships(spark, sf_dir):
 
 @query("inherited_attribute", "SELECT o_custkey AS doc_id, pre AS node_id, o_orderpriority AS value FROM line", tree=True)
 def _inherited(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return axes.inherited_attribute(nodes, "priority").join(nodes.filter("depth = 3").select(*KEY), list(KEY), "left_semi")
 
 
@@ -258,7 +259,7 @@ def _document_element(spark, sf_dir):
 
 @query("node_roots", "SELECT o_custkey AS doc_id, pre AS node_id, 0::BIGINT AS root_id, true AS is_connected FROM ord", tree=True)
 def _roots(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return axes.root_node(nodes).join(nodes.filter("local_name = 'order'").select(*KEY), list(KEY), "left_semi")
 
 
@@ -272,7 +273,7 @@ def _shown(spark, sf_dir):
 
 @query("text_content", "SELECT o_custkey AS doc_id, pre AS node_id, coalesce(t, '') AS text FROM ord LEFT JOIN (SELECT l_orderkey AS lk, string_agg(l_partkey::VARCHAR, '' ORDER BY i) AS t FROM line GROUP BY 1) ON lk = o_orderkey", tree=True)
 def _text_content(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return text.text_content(nodes, nodes.filter("local_name = 'order'").select(*KEY))
 
 
@@ -283,19 +284,19 @@ _LINE_HTML = "'<' || name || ' flag=\"' || l_returnflag || '\" status=\"' || l_l
 SELECT o_custkey AS doc_id, pre AS node_id, '<order id="o' || o_orderkey || '" class="' || lower(o_orderstatus) || '" status="' || o_orderstatus || '" priority="' || o_orderpriority || '">' || coalesce(t, '') || '</order>' AS html
 FROM ord LEFT JOIN (SELECT l_orderkey AS lk, string_agg({_LINE_HTML}, '' ORDER BY i) AS t FROM line GROUP BY 1) ON lk = o_orderkey""", tree=True)
 def _outer(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return text.outer_html(nodes, nodes.filter("local_name = 'order'").select(*KEY))
 
 
 @query("inner_html", f"SELECT o_custkey AS doc_id, pre AS node_id, coalesce(t, '') AS html FROM ord LEFT JOIN (SELECT l_orderkey AS lk, string_agg({_LINE_HTML}, '' ORDER BY i) AS t FROM line GROUP BY 1) ON lk = o_orderkey", tree=True)
 def _inner(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     return text.inner_html(nodes, nodes.filter("local_name = 'order'").select(*KEY))
 
 
 @query("equal_subtrees", "SELECT a.o_custkey AS doc_id, a.pre AS node_id, b.o_custkey AS other_doc, b.pre AS other_id, (a.name, a.l_returnflag, a.l_linestatus, a.l_quantity::INT, a.l_partkey) = (b.name, b.l_returnflag, b.l_linestatus, b.l_quantity::INT, b.l_partkey) AS equal FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1", tree=True)
 def _equal(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     near = axes.siblings(nodes.filter("depth = 3")).filter("next_id is not null").select("doc_id", "node_id", F.col("doc_id").alias("other_doc"), F.col("next_id").alias("other_id"))
     return text.is_equal(nodes, near)
 
@@ -303,7 +304,7 @@ def _equal(spark, sf_dir):
 @query("range_text", """
 SELECT o_custkey AS range_id, substring(string_agg(l_partkey::VARCHAR, '' ORDER BY i), 2) AS text FROM line WHERE k = 1 GROUP BY 1""", tree=True)
 def _range_text(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     lines = nodes.filter("kind = 'text'").join(nodes.filter("depth = 3").select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("order_id")), ["doc_id", "parent_id"])
     first = nodes.filter("local_name = 'order' and elem_idx = 1").select("doc_id", F.col("node_id").alias("order_id"))
     mine = lines.join(first, ["doc_id", "order_id"]).groupBy("doc_id").agg(F.min("node_id").alias("start_id"), F.max_by(F.struct("node_id", F.char_length("value").alias("n")), "pre").alias("e"))
@@ -313,7 +314,7 @@ def _range_text(spark, sf_dir):
 
 @query("range_compare", 'SELECT a.pre AS range_id, a.o_custkey AS doc_id, b.pre AS other_id, -1 AS "order" FROM ord a JOIN ord b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1', tree=True)
 def _range_compare(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     r = ranges.select_nodes(nodes, nodes.filter("local_name = 'order'").select(*KEY))
     # Range ids are unique within a document here; the key is both.
     key = lambda d, n: F.concat_ws(":", d, n)
@@ -326,7 +327,7 @@ def _range_compare(spark, sf_dir):
 
 @query("range_points", 'SELECT o_custkey AS range_id, o_custkey AS doc_id, pre AS node_id, 0 AS off, CASE WHEN k = 1 THEN 0 ELSE 1 END AS "order" FROM ord', tree=True)
 def _range_points(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     orders_ = nodes.filter("local_name = 'order'")
     r = ranges.select_nodes(nodes, orders_.filter("elem_idx = 1").select(*KEY)).withColumn("range_id", F.col("doc_id"))
     return ranges.compare_point(nodes, r, orders_.select(F.col("doc_id").alias("range_id"), "doc_id", "node_id", F.lit(0).alias("off")))
@@ -337,7 +338,7 @@ SELECT doc_id, node_id, lag(node_id) OVER w AS previous_id, lead(node_id) OVER w
   SELECT c_custkey AS doc_id, 1::BIGINT AS node_id FROM cust UNION ALL SELECT o_custkey, pre FROM ord WHERE o_orderstatus <> 'F' UNION ALL SELECT o_custkey, pre FROM line WHERE o_orderstatus <> 'F' AND name = 'return')
 WINDOW w AS (PARTITION BY doc_id ORDER BY node_id)""", tree=True)
 def _walker(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     verdict = F.when((F.col("local_name") == "order") & F.array_contains("class_tokens", "f"), traversal.REJECT).when(F.col("local_name") == "item", traversal.SKIP).otherwise(traversal.ACCEPT)
     seen = traversal.tree_walker(nodes, nodes.filter("local_name = 'customer'").select(*KEY), what_to_show=fn.show_mask(1), filter=verdict)
     return seen.select(*KEY, "previous_id", "next_id")
@@ -345,7 +346,7 @@ def _walker(spark, sf_dir):
 
 @query("node_iterator", "SELECT o_custkey AS doc_id, pre + 1 AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY pre) AS position FROM line", tree=True)
 def _iterator(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     out = traversal.node_iterator(nodes, nodes.filter("local_name = 'customer'").select(*KEY), what_to_show=fn.show_mask(3))
     return out.select(*KEY, F.col("position").cast("long").alias("position"))
 
@@ -357,14 +358,14 @@ def _iterator(spark, sf_dir):
 , kept AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS r, 2 + coalesce(sum(1 + 2 * n) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM ord WHERE o_orderstatus <> 'F')
 SELECT o_custkey AS doc_id, pre AS node_id, p AS pre, p + 2 * n AS last, r::INT AS elem_idx FROM kept""", tree=True)
 def _remove(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     left = edits.remove_subtrees(nodes, nodes.filter(F.array_contains("class_tokens", "f")).select(*KEY))
     return left.filter("local_name = 'order'").select(*KEY, "pre", "last", "elem_idx")
 
 
 @query("set_attributes", "SELECT o_custkey AS doc_id, pre AS node_id, CASE WHEN o_orderstatus = 'F' THEN 'yes' END AS done, CASE WHEN o_orderstatus = 'F' THEN 'id,class,status,priority,done' ELSE 'id,class,status,priority' END AS names FROM ord", tree=True)
 def _set_attributes(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     out = edits.set_attribute_where(nodes, F.array_contains("class_tokens", "f"), "done", "yes").filter("local_name = 'order'")
     return out.select(*KEY, fn.get_attribute("done").alias("done"), F.array_join(fn.attribute_names(), ",").alias("names"))
 
@@ -383,7 +384,7 @@ def _order_edits(nodes: DataFrame) -> DataFrame:
 
 @query("apply_edits", 'SELECT o_custkey AS doc_id, pre AS node_id, (CASE WHEN k = 1 THEN "of" ELSE k - 1 END)::INT AS elem_idx, CASE WHEN k = 2 THEN \'1\' END AS seen FROM ord', tree=True)
 def _apply(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     out = edits.apply_edits(nodes, _order_edits(nodes)).nodes.filter("local_name = 'order'")
     return out.select(*KEY, "elem_idx", fn.get_attribute("seen").alias("seen"))
 
@@ -393,7 +394,7 @@ SELECT o_custkey AS doc_id, 1::BIGINT AS seq, 'child_list' AS type, 1::BIGINT AS
 UNION ALL SELECT o_custkey, 1, 'child_list', 1, NULL, false, true FROM ord WHERE k = 1
 UNION ALL SELECT o_custkey, 2, 'attributes', pre, 'seen', false, false FROM ord WHERE k = 2""", tree=True)
 def _mutations(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     m = edits.apply_edits(nodes, _order_edits(nodes)).mutations
     return m.select("doc_id", "seq", "type", "target_id", "attribute_name", (F.size("removed") > 0).alias("removed"), (F.size("added") > 0).alias("added"))
 
@@ -401,7 +402,7 @@ def _mutations(spark, sf_dir):
 @query("observer_records", """
 SELECT c_custkey AS observer_id, o_custkey AS doc_id, 2::BIGINT AS seq, 'attributes' AS type, pre AS target_id, 'seen' AS attribute_name, NULL::VARCHAR AS old_value FROM ord JOIN cust ON c_custkey = o_custkey WHERE k = 2""", tree=True)
 def _records(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     m = edits.apply_edits(nodes, _order_edits(nodes)).mutations
     t, f = F.lit(True), F.lit(False)
     o = nodes.filter("local_name = 'customer'").select(
@@ -443,21 +444,21 @@ fire AS (
   UNION ALL SELECT event_id, user_id, 1, 2, 3, 4 FROM hit WHERE k <> 1)
 SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY s) AS fire_ord, doc_id, node_id, seq, phase FROM fire""", tree=True)
 def _dispatch(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     fired = events.dispatch(nodes, _click_events(spark, sf_dir, nodes).filter("type = 'click'"), _listeners(nodes))
     return fired.select("event_id", F.col("fire_ord").cast("long").alias("fire_ord"), "doc_id", "node_id", "seq", "phase")
 
 
 @query("event_outcome", f", hit AS ({_HIT}) SELECT event_id, NOT (name = 'item' AND i = 1) AS not_prevented FROM hit", tree=True)
 def _outcome(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     e = _click_events(spark, sf_dir, nodes).filter("type = 'click'")
     return events.outcomes(e, events.dispatch(nodes, e, _listeners(nodes)))
 
 
 @query("event_path", f", hit AS ({_HIT}) SELECT event_id, pre AS node_id, 0::BIGINT AS distance FROM hit UNION ALL SELECT event_id, o_pre, 1 FROM hit UNION ALL SELECT event_id, 1, 2 FROM hit UNION ALL SELECT event_id, 0, 3 FROM hit", tree=True)
 def _path(spark, sf_dir):
-    nodes = orders_tree(spark, sf_dir)
+    nodes = store(orders_tree(spark, sf_dir))
     e = _click_events(spark, sf_dir, nodes).filter("type = 'click'")
     return events.composed_path(nodes, e).select("event_id", "node_id", "distance")
 
@@ -523,8 +524,6 @@ def _streams():
 
 def _streamed(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a streaming plan over the table events to its end; the result as a table."""
-    from ..session import shared_folder
-
     streams = _streams()
     streams.use_rocksdb(spark)
     path = f"{sf_dir}/events.parquet"
@@ -553,7 +552,7 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links in the navigation of each page."""
-    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    nodes = store(html.parse_pages(_read(spark, sf_dir, "pages")))
     found = query_selector_all(nodes, "nav li > a[href]")
     return found.select(F.col("doc_id").alias("page_id"), fn.get_attribute("href").alias("href")).orderBy("page_id", "href")
 
@@ -566,40 +565,40 @@ def _nav_links(spark, sf_dir):
 
 @query("page_titles", "SELECT page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '\"') AS title FROM pages")
 def _titles(spark, sf_dir):
-    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    nodes = store(html.parse_pages(_read(spark, sf_dir, "pages")))
     return text.text_content(nodes, _keys(query_selector(nodes, "head > title"))).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
 
 
 @query("page_element_counts")
 def _element_counts(spark, sf_dir):
-    return html.element_names(html.parse_pages(_read(spark, sf_dir, "pages")))
+    return html.element_names(store(html.parse_pages(_read(spark, sf_dir, "pages"))))
 
 
 @query("page_checks", "SELECT 0::BIGINT AS doc_id, 0::BIGINT AS node_id, '' AS violation WHERE false")
 def _page_checks(spark, sf_dir):
-    return checks.check_nodes(html.parse_pages(_read(spark, sf_dir, "pages")))
+    return checks.check_nodes(store(html.parse_pages(_read(spark, sf_dir, "pages"))))
 
 
 @query("page_text")
 def _page_text(spark, sf_dir):
-    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    nodes = store(html.parse_pages(_read(spark, sf_dir, "pages")))
     return text.text_content(nodes, _keys(axes.head_or_body(nodes, "body")))
 
 
 @query("page_markup")
 def _page_markup(spark, sf_dir):
-    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    nodes = store(html.parse_pages(_read(spark, sf_dir, "pages")))
     return text.inner_html(nodes, _keys(nodes.filter("kind = 'document'")))
 
 
 @query("page_whole_text")
 def _page_whole_text(spark, sf_dir):
-    return text.whole_text(html.parse_pages(_read(spark, sf_dir, "pages")))
+    return text.whole_text(store(html.parse_pages(_read(spark, sf_dir, "pages"))))
 
 
 @query("page_languages", "SELECT page_id, count(*) FILTER (true) AS n FROM pages WHERE html LIKE '%<html lang=\"fr\">%' GROUP BY 1")
 def _languages(spark, sf_dir):
-    nodes = html.parse_pages(_read(spark, sf_dir, "pages"))
+    nodes = store(html.parse_pages(_read(spark, sf_dir, "pages")))
     return query_selector_all(nodes, "html:lang(fr)").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
@@ -618,6 +617,90 @@ def _fragments(spark, sf_dir):
     return spark.sql("SELECT conv_id, turn, count(*) AS n FROM treeloom_turns, LATERAL parse_fragment(html, 'div') t WHERE t.kind = 'element' GROUP BY 1, 2")
 
 
+# -- forms, written from orders and parsed
+
+
+def order_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table of one small form per order."""
+    o = _read(spark, sf_dir, "orders")
+    flag = lambda test, text: F.when(F.expr(test), text).otherwise("")
+    markup = F.concat(
+        F.lit("<form><fieldset"), flag("o_orderstatus = 'F'", " disabled"), F.lit("><legend><input id=a></legend><input id=b></fieldset><input id=c type=checkbox"),
+        flag("o_orderpriority = '1-URGENT'", " checked"), F.lit("><input id=d type=number min=100000 value="), F.floor("o_totalprice").cast("string"),
+        F.lit('><input id=e required value="'), flag("o_orderstatus <> 'P'", "x"), F.lit('"><button id=f></button></form><div id=h lang='),
+        F.when(F.expr("o_orderstatus = 'O'"), "en-US").otherwise("fr"), F.lit("><p id=g>x</p></div>"))
+    return store(html.parse_pages(o.select("o_orderkey", markup.alias("html")), "o_orderkey", "html"))
+
+
+_FORMS = {
+    ":disabled": "unnest(['b', 'fieldset']) AS id FROM orders WHERE o_orderstatus = 'F'",
+    ":enabled": "unnest(CASE WHEN o_orderstatus = 'F' THEN ['a', 'c', 'd', 'e', 'f'] ELSE ['a', 'b', 'c', 'd', 'e', 'f', 'fieldset'] END) AS id FROM orders",
+    ":checked": "'c' AS id FROM orders WHERE o_orderpriority = '1-URGENT'",
+    ":in-range": "'d' AS id FROM orders WHERE floor(o_totalprice) >= 100000",
+    ":out-of-range": "'d' AS id FROM orders WHERE floor(o_totalprice) < 100000",
+    ":required": "'e' AS id FROM orders",
+    ":invalid": "unnest(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'e' END, CASE WHEN floor(o_totalprice) < 100000 THEN 'd' END], lambda x: x IS NOT NULL)) AS id FROM orders",
+    ":default": "unnest(CASE WHEN o_orderpriority = '1-URGENT' THEN ['c', 'f'] ELSE ['f'] END) AS id FROM orders",
+    ":read-write": "unnest(CASE WHEN o_orderstatus = 'F' THEN ['a', 'd', 'e'] ELSE ['a', 'b', 'd', 'e'] END) AS id FROM orders",
+    ":lang(en)": "unnest(['g', 'h']) AS id FROM orders WHERE o_orderstatus = 'O'",
+}
+
+
+def _form(selector: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query_selector_all(order_forms(spark, sf_dir), selector).select("doc_id", F.coalesce("id", "local_name").alias("id"))
+
+
+for _selector_text, _sql in _FORMS.items():
+    query("form_" + _selector_text.strip(":)").replace("(", "_").replace("-", "_"), f"SELECT o_orderkey AS doc_id, {_sql}")(_form(_selector_text))
+
+
+# -- shadow trees: every customer hosts one, with a slot without a name
+
+
+def _with_shadows(nodes: DataFrame) -> DataFrame:
+    hosts = nodes.filter("local_name = 'customer'").select("doc_id", "last")
+    null = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in nodes.schema}
+    base = F.col("last") + 1
+    one, zero = F.lit(1), F.lit(0)
+    root = dict(node_id=base, root_id=base, pre=base, last=base + 1, depth=zero, sib_idx=zero, content_child_cnt=one, kind=F.lit("shadow_root"), node_type=F.lit(11), host_id=one, shadow_mode=F.lit("open"), slot_assignment=F.lit("named"))
+    slot = dict(node_id=base + 1, root_id=base, parent_id=base, parent_type=F.lit(11), pre=base + 1, last=base + 1, depth=one, sib_idx=zero, elem_idx=one, elem_cnt=one, type_idx=one, type_cnt=one, content_child_cnt=zero, kind=F.lit("element"), node_type=one, local_name=F.lit("slot"), class_tokens=F.array(), attrs=F.create_map(), attr_list=F.array())
+    rows = lambda given: hosts.select(*[F.col("doc_id") if f.name == "doc_id" else given[f.name].cast(f.dataType).alias(f.name) if f.name in given else null[f.name] for f in nodes.schema])
+    return nodes.unionByName(rows(root)).unionByName(rows(slot))
+
+
+@query("slot_assignment", "SELECT o_custkey AS doc_id, pre AS node_id, k - 1 AS position FROM ord", tree=True)
+def _slots(spark, sf_dir):
+    return shadow.slot_assignment(_with_shadows(store(orders_tree(spark, sf_dir)))).select(*KEY, F.col("position").cast("long").alias("position"))
+
+
+@query("shadow_roots", "SELECT c_custkey AS doc_id, 1::BIGINT AS host_id, 'open' AS mode FROM cust", tree=True)
+def _shadow_roots(spark, sf_dir):
+    return shadow.shadow_roots(_with_shadows(store(orders_tree(spark, sf_dir)))).select("doc_id", "host_id", "mode")
+
+
+@query("css_host", C, tree=True)
+def _host(spark, sf_dir):
+    return _keys(query_selector_all(_with_shadows(store(orders_tree(spark, sf_dir))), ":host(customer)"))
+
+
+@query("attribute_changes", "SELECT o_custkey AS doc_id, pre AS node_id, 'status' AS name, 'F' AS old_value, 'done' AS new_value FROM ord WHERE o_orderstatus = 'F'", tree=True)
+def _attribute_changes(spark, sf_dir):
+    nodes = store(orders_tree(spark, sf_dir))
+    after = edits.set_attribute_where(nodes, (F.col("local_name") == "order") & F.array_contains("class_tokens", "f"), "status", "done")
+    return events.attribute_changes(nodes, after)
+
+
+@query("default_actions", """
+WITH c AS (SELECT user_id, count(*) AS n FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'click' GROUP BY 1)
+SELECT user_id AS doc_id, 'checked' AS what, n % 2 = 1 AS value FROM c""")
+def _default_actions(spark, sf_dir):
+    boxes = html.parse_pages(_read(spark, sf_dir, "customer").select("c_custkey", F.lit("<input type=checkbox>").alias("html")), "c_custkey", "html")
+    box = boxes.filter("local_name = 'input'").select("doc_id", F.col("node_id").alias("target_id"))
+    e = _read(spark, sf_dir, "events")
+    clicks = e.join(box, e["user_id"] == box["doc_id"]).select("event_id", "doc_id", "target_id", F.col("event_type").alias("type"), "ts")
+    return events.default_actions(boxes, clicks, clicks.select("event_id", F.lit(True).alias("not_prevented"))).select("doc_id", "what", "value")
+
+
 # -- character data
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, *, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -33,3 +34,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="treeloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/treeloom/{name}-{uuid.uuid4().hex}"
+
+
+def store(nodes: DataFrame, name: str = "nodes") -> DataFrame:
+    """Write a table once to the shared folder and read it back, as for a plan that uses it in several places.
+
+    Parsing then runs once, later scans read only the columns that they need, and a
+    lost executor costs no second parse.  It is deleted when the driver ends.
+    """
+    spark = nodes.sparkSession
+    path = shared_folder(spark, name)
+    nodes.write.parquet(path)
+
+    def clean() -> None:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have gone first
+            pass
+
+    atexit.register(clean)
+    return spark.read.schema(nodes.schema).parquet(path)
