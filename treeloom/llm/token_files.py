@@ -76,8 +76,8 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def write(docs: DataFrame, folder: str, *, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, docs_per_file: int = 2048) -> DataFrame:
     """Encode ``docs`` (doc_id, text) to token files in ``folder``; returns the manifest.
 
-    The manifest has a row per file: range (files ascend by it), n_docs, n_tokens,
-    file.  Every document ends with ``end_id``.  A null text is empty, a null
+    The manifest has a row per file: range and part (files ascend by them), n_docs,
+    n_tokens, file.  A file has at most ``docs_per_file`` documents.  Every document ends with ``end_id``.  A null text is empty, a null
     doc_id comes first, repeated ids are in order of their texts.  A task that is
     run again writes the same file again.
     """
@@ -88,41 +88,41 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = "word_bpe_49k.json",
         width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4
         encoder = unit_encoder(tokenizer, f"<u{width}")
         end = int(end_id).to_bytes(width, "little")
-        now, keys, ids = None, [], []
+        now, number, keys, ids = None, 0, [], []
 
         def close() -> pa.RecordBatch:
-            name = f"{now:08d}.tok"
-            data = pack_file(keys, ids, width)
-            _put(folder, name, data)
-            return pa.RecordBatch.from_pydict({"range": pa.array([now], pa.int32()), "n_docs": [len(keys)], "n_tokens": [sum(map(len, ids)) // width], "file": [name]})
+            name = f"{now:06d}-{number:06d}.tok"
+            _put(folder, name, pack_file(keys, ids, width))
+            return pa.RecordBatch.from_pydict({"range": pa.array([now], pa.int32()), "part": pa.array([number], pa.int32()), "n_docs": [len(keys)], "n_tokens": [sum(map(len, ids)) // width], "file": [name]})
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 encoded = encoder.encode_batch(part["text"].to_pylist())
                 for r, d, x in zip(part["range"].to_pylist(), part["doc_id"].to_pylist(), encoded):
-                    if r != now:
+                    if r != now or len(keys) >= docs_per_file:
                         if keys:
                             yield close()
-                        now, keys, ids = r, [], []
+                        now, number, keys, ids = r, number + 1 if r == now else 0, [], []
                     keys.append(d)
                     ids.append(x + end)
         if keys:
             yield close()
 
     rows = ranged.repartition("range").sortWithinPartitions("range", "doc_id", "text")
-    return staged(rows.mapInArrow(run, "range int, n_docs long, n_tokens long, file string"), "token-manifest")
+    return staged(rows.mapInArrow(run, "range int, part int, n_docs long, n_tokens long, file string"), "token-manifest")
 
 
-def read(folder: str, manifest: DataFrame) -> DataFrame:
+def read(folder: str, manifest: DataFrame, *, with_ids: bool = True) -> DataFrame:
     """A row per document of the files that ``manifest`` lists: doc_id, start, n_tokens, ids_crc32, ids.
 
     start is the number of ids in all documents before, over all files; ids are
-    little-endian unsigned 32-bit integers, ids_crc32 is of them.
+    little-endian unsigned 32-bit integers (null unless ``with_ids``), ids_crc32
+    is of them.
     """
     spark = manifest.sparkSession
     # A row per file, not per document.
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")).alias("base"))
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
@@ -139,13 +139,13 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": pa.array([f.doc_id(i) for i in own], pa.int64()), "start": pa.array(base + bounds[own.start : own.stop]),
                         "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        "ids": pa.array(ids, pa.binary()),
+                        "ids": pa.array(ids if with_ids else [None] * len(ids), pa.binary()),
                     })
 
     return files.join(F.broadcast(bases), "file").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def round_trip(docs: DataFrame, **how) -> DataFrame:
+def round_trip(docs: DataFrame, *, with_ids: bool = False, **how) -> DataFrame:
     """Write ``docs`` to files in the shared folder and read them back."""
     folder = scratch_path(docs.sparkSession, "token-files")
-    return read(folder, write(docs, folder, **how))
+    return read(folder, write(docs, folder, **how), with_ids=with_ids)

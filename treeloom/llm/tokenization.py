@@ -13,6 +13,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -72,39 +74,87 @@ def byte_encoder(name_or_path: str) -> Callable[[str], np.ndarray]:
 class UnitEncoder:
     """Ids of whole texts, little-endian, from the ids of their space-separated units.
 
-    For a tokenizer that drops white space before it looks at words, a text's ids
-    are those of the parts between spaces, one after the other.  At most
-    ``max_units`` units are kept; then the memory is emptied and filled anew.
+    For a tokenizer that lower-cases, drops white space before it looks at words
+    and marks the ends of words (as its vocabulary shows), a text's ids are those
+    of the parts between spaces, one after the other.  At most ``max_units`` units
+    are kept; then the memory is emptied and filled anew.
     """
 
-    def __init__(self, name_or_path: str, dtype: str, max_units: int = 1_000_000):
+    #: Words encoded in one call; the marks of their ends part their ids again.
+    _TOGETHER = 500
+
+    def __init__(self, name_or_path: str, dtype: str, max_units: int = 400_000):
         self.library = _load(tokenizer_path(name_or_path))
         self.dtype, self.max_units = dtype, max_units
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Units that are one word each."""
+        groups = [words[i : i + self._TOGETHER] for i in range(0, len(words), self._TOGETHER)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                packed, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+                at = 0
+                for word, stop in zip(group, (stops * width).tolist()):
+                    self.known[word] = packed[at:stop]
+                    at = stop
+            else:
+                self._learn_units(group)
+
+    def _learn_units(self, units: list[str]) -> None:
+        for unit, found in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False)):
+            self.known[unit] = self._bytes(found.ids)
+
     def _learn(self, units: set[str]) -> None:
         if len(self.known) + 2 * len(units) > self.max_units:
             self.known = {"": b""}
         known = self.known
-        # A comma or stop after a letter or digit is a word of its own.
-        cut = {u for u in units if len(u) > 1 and u[-1] in ",." and u[-2].isalnum()}
-        bare = list({u[:-1] if u in cut else u for u in units} | {",", "."})
-        for unit, found in zip(bare, self.library.encode_batch_fast(bare, add_special_tokens=False)):
-            known[unit] = np.array(found.ids, dtype=self.dtype).tobytes()
-        for unit in cut:
-            known[unit] = known[unit[:-1]] + known[unit[-1]]
+        # ASCII punctuation after a letter or digit is a word of its own.
+        cut = {}
+        for u in units:
+            base = u.rstrip(string.punctuation)
+            # Some letters are followed by a mark when lower-cased.
+            if base != u and base and base[-1].isalnum() and len(base[-1].lower()) == 1 and "<|" not in u:
+                cut[u] = base
+        bare = {cut.get(u, u) for u in units}.union(u[len(base) :] for u, base in cut.items()).difference(known)
+        words = [u for u in bare if u.isalpha()]
+        if words:
+            self._learn_words(words)
+        if others := [u for u in bare if not u.isalpha()]:
+            self._learn_units(others)
+        for unit, base in cut.items():
+            known[unit] = known[base] + known[unit[len(base) :]]
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The text with fewer different units, if that changes no id."""
+        text = text.replace("\n", " ")
+        if "<|" in text:  # may be a special token, which counts as written
+            return text
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return low if low.isascii() or unicodedata.is_normalized("NFC", low) else text
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            units = text.split(" ")
-            if new := set(units).difference(self.known):
-                self._learn(new)
-                if missing := set(units).difference(self.known):  # the memory was emptied
-                    self._learn(missing)
+        parts = [self._plain(t).split(" ") for t in texts]
+        found = [list(map(self.known.get, units)) for units in parts]
+        new = {u for units, ids in zip(parts, found) if None in ids for u, x in zip(units, ids) if x is None}
+        if new:
+            self._learn(new)
             known = self.known
-            out.append(b"".join([known[u] for u in units]))
-        return out
+            for units, ids in zip(parts, found):
+                if None in ids:
+                    for i, x in enumerate(ids):
+                        if x is None:
+                            ids[i] = known[units[i]]
+        return [b"".join(ids) for ids in found]
 
 
 @functools.lru_cache(maxsize=2)
