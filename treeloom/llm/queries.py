@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, license_scan, mixing, near_dedup, packing, secret_scan, token_files, toxicity, url_filter
 from .common import table
-from pyspark.sql import functions as F
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.filter_captures(url_filter.page_captures(pages), url_filter.page_list(pages)).withColumnRenamed("key", "page_id")
+    found = url_filter.filter_captures(url_filter.page_captures(pages), url_filter.page_list(pages)).withColumnRenamed("key", "page_id")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("fetched_at", "since")})
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
