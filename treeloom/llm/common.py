@@ -72,7 +72,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._treeloom_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        if t is not None and hasattr(t, "_treeloom_path"):
+            _delete(t.sparkSession, t._treeloom_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,29 +6,37 @@ need only ``2 * halves * width`` minhashes.  Tables are not built for documents
 whose half keys are their own: a key can only be shared by documents that share
 both halves.  Candidates are verified on full shingle sets.
 
-Within a bucket, documents are first compared with a leader; what the links so
-found join needs no further comparison.  Members that are still apart are
-compared in blocks of bounded size, screened by their minhashes, so no candidate
-is dropped and no task holds a whole bucket.
+A bucket's documents are compared with its leader, the one whose half keys are
+the most common, as the original of a group of edited copies is.  Two documents
+that are both linked to the leader need no comparison.  For the others, what
+matters is how they differ from the leader: a document that is not linked to it
+can only be linked to one that shares a difference, and most of that one's
+differences, so an exact prefix join on differences finds all links without
+pairing a group's members.  Documents far from the leader go to the next turn
+with a leader of their own.  What is left after the turns is compared in blocks of bounded
+size, screened by minhashes.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import full_text, staged
+from .common import full_text, release, staged
 from .components import connected_components
 
 SIGNED = "doc_id long, n_shingles long, set_hash binary, signature binary"
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.binary())])
 _BLOCK = 256
+#: The Jaccard distance to a leader up to which a document is done with its turn.
+_INNER = 0.25
 #: Members up to which a bucket's pairs come from a join, not from blocks.
 _SMALL = 32
 #: Words whose hash a task keeps.
@@ -118,14 +126,15 @@ def half_keys(classes: DataFrame, halves: int, width: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame, halves: int, width: int) -> DataFrame:
-    """(key, id) of every table entry that two classes or more share."""
+    """(key, id, known) of every table entry that two classes or more share; known says how common a class's half keys are."""
     keys = staged(half_keys(classes, halves, width), "half-keys")
-    shared = keys.groupBy("h", "half").count().filter("count > 1").drop("count")
-    mine = keys.join(shared, ["h", "half"]).groupBy("id").agg(F.collect_list(F.struct("h", "half")).alias("own"))
+    shared = keys.groupBy("h", "half").count().filter("count > 1")
+    mine = keys.join(shared, ["h", "half"]).groupBy("id").agg(F.collect_list(F.struct("h", "half")).alias("own"), F.sum("count").alias("known"))
     first = F.filter("own", lambda x: x["h"] < halves)
     second = F.filter("own", lambda x: x["h"] >= halves)
     pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["h"], b["h"], a["half"], b["half"]))))
-    entries = staged(mine.select("id", F.explode(pairs).alias("key")), "table-entries")
+    entries = staged(mine.select("id", "known", F.explode(pairs).alias("key")), "table-entries")
+    release(keys)
     # Documents that agree in much share many tables; of buckets with the same
     # members (by count, sum and xor of two hashes of them) one is enough.
     members = entries.groupBy("key").agg(
@@ -134,7 +143,9 @@ def buckets(classes: DataFrame, halves: int, width: int) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("x"),
     )
     crowded = members.filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
-    return entries.join(crowded, "key").select("key", "id", "n")
+    out = staged(entries.join(crowded, "key").select("key", "id", "known"), "buckets")
+    release(entries)
+    return out
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -171,52 +182,124 @@ def screen(pairs: DataFrame, classes: DataFrame, count: int, percent: int) -> Da
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
+_MEASURED = "a long, b long, both long, n_a long, n_b long, apart binary"
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    return int((large[at] == small).sum())
+
+
+def measure(pairs: DataFrame, sets: DataFrame, within: float = -1.0) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of both full sets and of their intersection.
+
+    Of pairs at a distance of at most ``within``, apart has the elements that only
+    one of the two has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            got = []
             for x, y in zip(batch["x"], batch["y"]):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both = _overlap(p, q)
+                near = 1 - both / max(1, len(p) + len(q) - both) <= within
+                got.append((both, len(p), len(q), np.setxor1d(p, q, assume_unique=True).astype("<u8").tobytes() if near else None))
+            more = [pa.array([g[k] for g in got], pa.int64() if k < 3 else pa.binary()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *more], names=["a", "b", "both", "n_a", "n_b", "apart"])
+
+    return _with_sets(pairs, sets).mapInArrow(run, _MEASURED)
 
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # Sets are large, so neither side is to be broadcast, at any size.
+    return pairs.hint("merge").join(two.hint("merge"), "b").hint("merge").join(one.hint("merge"), "a").select("a", "b", "x", "y")
+
+
+def linked(percent: int) -> Column:
+    """Whether a measured pair is a link."""
+    return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+
 
+def distance() -> Column:
+    """The Jaccard distance of a measured pair."""
+    return 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
 
-def leader_pairs(members: DataFrame, turn: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket's leader and a member of another component.
 
-    ``members`` has key, id, component.  The leader is the member first in an
-    order that ``turn`` shuffles.  With ``best_only`` each member gets the one
-    leader that most of its buckets share.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
+    return measure(pairs, sets).filter(linked(percent)).select("a", "b")
+
+
+def leaders(entries: DataFrame) -> DataFrame:
+    """(key, leader) of every bucket with two members or more: the one with the most common half keys."""
+    order = F.struct("known", F.xxhash64("id").alias("o"), "id")
+    return entries.groupBy("key").agg(F.max(order).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("top.id").alias("leader"))
+
+
+def difference_links(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between documents near one leader, of which one is not linked to it; and a table to release after.
+
+    ``near`` has measured pairs (a leader, b member, with apart).  Let D be a
+    member's symmetric difference to the leader.  The symmetric difference of two
+    members is that of their D, and they are linked if it is at most
+    c = (1 - t) / (1 + t) times the sum of their sizes.  For x not linked to the
+    leader this asks of any y that at least half of D(y), give or take c times its
+    difference in size, is in D(x).  So one of the rarest elements of D(y), as many
+    as may be missing and one more, is in D(x): the join is on those, with a bound
+    on what can follow.  Whether a pair is a link is seen from their D.
     """
-    lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "component")).alias("lead"))
-    met = (
-        members.join(lead, "key").filter(F.col("component") != F.col("lead.component"))
-        .groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
-    )
-    if best_only:
-        top = met.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top"))
-        return top.select(F.col("top.a").alias("a"), "b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    c = (100 - percent) / (100 + percent)
+    loose = near.filter(~linked(percent)).select("a").distinct()
+    mine = near.join(loose, "a", "left_semi")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x.as_buffer()) // 8 for x in batch["apart"]], dtype=np.int64)
+            at = np.repeat(np.arange(batch.num_rows), sizes)
+            fixed = batch.select(["a", "b", "n_a", "n_b", "free"]).take(pa.array(at))
+            elements = np.frombuffer(b"".join(x.as_py() for x in batch["apart"]), "<i8")
+            yield pa.RecordBatch.from_arrays([*fixed.columns, pa.array(sizes[at]), pa.array(elements)], names=["a", "b", "n_a", "n_b", "free", "d", "e"])
+
+    flagged = mine.select("a", "b", "n_a", "n_b", (~linked(percent)).alias("free"), "apart")
+    found = staged(flagged.mapInArrow(spread, "a long, b long, n_a long, n_b long, free boolean, d long, e long"), "differences")
+    often = found.groupBy("a", "e").agg(F.count("*").alias("often")).filter("often > 1")
+    order = Window.partitionBy("a", "b").orderBy("often", "e")
+    # Elements of one document alone come first in the order, match nothing, and only count.
+    alone = F.col("d") - F.count("*").over(Window.partitionBy("a", "b"))
+    ranked = found.join(often, ["a", "e"]).withColumn("place", alone + F.row_number().over(order))
+    need = F.greatest(F.lit(1), F.ceil((F.col("d") - c * (F.col("n_b") - F.col("n_a"))) / 2 - 1e-6))
+    index = ranked.filter(F.col("place") <= F.col("d") - need + 1).select("a", "e", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("d").alias("d_y"), (F.col("d") - F.col("place") + 1).alias("left"))
+    probe = found.filter("free").select("a", "e", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("d").alias("d_x"))
+    both = (F.col("d_x") + F.col("d_y") - c * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6
+    same = probe.join(index, (probe["a"] == index["a"]) & (probe["e"] == index["e"]) & (F.col("x") != F.col("y")) & (F.col("left") >= both))
+    pairs = same.select(probe["a"], F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, q, n, m in zip(batch["d_x"], batch["d_y"], batch["n_x"].to_pylist(), batch["n_y"].to_pylist()):
+                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+                differ = len(p) + len(q) - 2 * _overlap(p, q) if len(p) and len(q) else len(p) + len(q)
+                # |A & B| = (|A| + |B| - |A ^ B|) / 2 and |A | B| likewise with a plus.
+                keep.append(100 * (n + m - differ) >= percent * (n + m + differ))
+            yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = mine.select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("apart").alias("d_x"))
+    two = mine.select("a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("apart").alias("d_y"))
+    links = pairs.join(one, ["a", "x"]).join(two, ["a", "y"]).select("x", "y", "n_x", "n_y", "d_x", "d_y").mapInArrow(confirm, "a long, b long")
+    return links, found
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
-    """All pairs across components of the buckets with at most ``_SMALL`` members."""
+    """All pairs of the buckets with at most ``_SMALL`` members (columns key, id, n)."""
     one = members.filter(F.col("n") <= _SMALL)
-    two = one.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    met = one.withColumnRenamed("id", "a").join(two, "key").filter("a < b and component <> other")
+    two = one.select("key", F.col("id").alias("b"))
+    met = one.withColumnRenamed("id", "a").join(two, "key").filter("a < b")
     return met.select("a", "b").distinct()
 
 
@@ -264,9 +347,7 @@ def large_pairs(members: DataFrame, classes: DataFrame, count: int, percent: int
     return rows.groupBy("key", "t").applyInArrow(run, "a long, b long").distinct()
 
 
-def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return entries.withColumn("component", F.col("id"))
+def with_components(entries: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links)
     return entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -274,21 +355,48 @@ def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, *, words: int, percent: int, halves: int, width: int, turns: int) -> DataFrame:
     """Verified links (a, b) between classes that connect every component."""
     count = 2 * halves * width
-    entries = staged(buckets(classes, halves, width), "buckets")
-    links = None
+    width_of_link = 1 - percent / 100
+    entries = buckets(classes, halves, width)
     sets = staged(shingle_sets(docs, entries.select("id").distinct(), words), "shingle-sets")
-    for turn in range(turns):
-        members = with_components(entries, links)
-        pairs = leader_pairs(members, turn, best_only=turn == 0)
-        pairs = staged(screen(pairs, classes, count, percent), "pairs")
-        found = staged(verify(pairs, sets, percent), "links-found")
-        links = found if links is None else links.unionByName(found)
-    members = staged(with_components(entries, links), "members")
-    pairs = screen(small_pairs(members), classes, count, percent).unionByName(large_pairs(members, classes, count, percent)).distinct()
-    return links.unionByName(staged(verify(staged(pairs, "pairs"), sets, percent), "links-found"))
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, halves: int = 12, width: int = 3, turns: int = 3) -> DataFrame:
+    links = None
+    for _ in range(turns):
+        lead = staged(leaders(entries), "leaders")
+        members = entries.join(lead, "key").filter("id <> leader")
+        pairs = members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        measured = staged(measure(pairs, sets, _INNER + width_of_link + 1e-9), "measured")
+        own = measured.filter(linked(percent)).select("a", "b")
+        more, spread = difference_links(measured.filter("apart is not null"), percent)
+        own = staged(own.unionByName(more), "links-found")
+        release(spread)
+        links = own if links is None else links.unionByName(own)
+        # Within the inner ring of the leader nothing is linked to what lies
+        # beyond the outer ring, by the triangle inequality; what follows is
+        # among the members outside the inner ring.
+        far = measured.filter(distance() > _INNER).select(F.col("a").alias("leader"), F.col("b").alias("id"))
+        rest = staged(members.join(far, ["leader", "id"], "left_semi").select("key", "id", "known"), "buckets")
+        release(entries, lead, measured)
+        entries = rest
+        sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+        if largest <= _SMALL:
+            break
+    if largest >= 2:
+        counted = entries.join(sizes.filter("n > 1"), "key").select("key", "id", "n")
+        pairs = screen(small_pairs(counted), classes, count, percent)
+        if largest > _SMALL:
+            large = staged(with_components(counted.filter(F.col("n") > _SMALL), links), "members")
+            pairs = pairs.unionByName(large_pairs(large, classes, count, percent)).distinct()
+        links = links.unionByName(staged(verify(staged(pairs, "pairs"), sets, percent), "links-found"))
+    release(entries, sets)
+    return links
+
+
+def halves_for(percent: int, width: int, miss: float) -> int:
+    """The fewest half keys of each collection with which a pair at the threshold meets in no table with probability ``miss`` at most."""
+    return math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** width))
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, width: int = 3, miss: float = 2e-4, turns: int = 2) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| for their
@@ -302,8 +410,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, halve
     gives an empty one.
 
     At the threshold a link's two documents meet in no table with probability
-    2 * (1 - 0.85**width)**halves, 2e-5 here.
+    ``miss`` at most; the more alike, the less.
     """
+    halves = halves_for(percent, width, miss)
     signed = staged(sign(docs, words=words, count=2 * halves * width), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     # Equal sets are one class, named by its smallest document; partial
