@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 from treeloom.plans.registry import ORACLE_SQL, QUERIES
@@ -15,7 +16,7 @@ SAMPLE = (
 
 
 def rows(df):
-    clean = lambda x: None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) if not isinstance(x, bool) else x
+    clean = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) if not isinstance(x, bool) else x
     return sorted((tuple(clean(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
 

@@ -42,7 +42,7 @@ class FocusProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.active = handle.getValueState("active", "node_id long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "request_id"])
         was = self.active.get()[0] if self.active.exists() else None
         out = []
@@ -79,7 +79,7 @@ class ToggleProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clicks = handle.getValueState("clicks", "n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n = sum(len(r) for r in rows) + (self.clicks.get()[0] if self.clicks.exists() else 0)
         self.clicks.update((n,))
         yield pd.DataFrame([(key[0], key[1], n % 2 == 1)], columns=["doc_id", "node_id", "toggled"])
@@ -105,7 +105,7 @@ class TimerProcessor(StatefulProcessor):
         self.handle = handle
         self.timers = handle.getMapState("timers", "timer_id long", "due long, every long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for r in pd.concat(list(rows)).sort_values(["ts", "timer_id"]).itertuples():
             name = (int(r.timer_id),)
             if self.timers.containsKey(name):
@@ -117,8 +117,8 @@ class TimerProcessor(StatefulProcessor):
                 self.handle.registerTimer(due)
         yield pd.DataFrame({"doc_id": [], "timer_id": [], "fired_ms": []}).astype("int64")
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
-        at = expired.get_expiry_time_in_ms()
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
         out = []
         for name, (due, every) in list(self.timers.iterator()):
             if due <= at:
