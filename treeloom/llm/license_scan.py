@@ -1,7 +1,13 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
 Every line of a document is a block, a set of words.  A block meets a template if
-it has at least ``percent`` of the template's words.  Words are ordered by how
+it has at least ``percent`` of the template's words.  So does a run of words that
+goes over line breaks, if it is no longer than the template and one word more for
+every six of it: a text that was wrapped is found like one on a single line.
+Stretches of STRETCH words, which overlap by the longest run, are blocks as well;
+what they share with a template is counted within its runs at the end.
+
+Words are ordered by how
 many blocks have them; then a block that meets a template of k words with at
 least c of them must have one of the k - c + 1 rarest, which is the prefix that
 the join goes by.  The length filter drops blocks of fewer than c words, the
@@ -43,6 +49,17 @@ TEMPLATES = (
 )
 
 
+def _run(text: str) -> int:
+    """The words of the longest run that may meet a template across line breaks."""
+    n = len(text.split())
+    return n + n // 6
+
+
+#: Any run of a template lies within one of the stretches, which start every STEP words.
+STEP = max(_run(t) for t, _ in TEMPLATES)
+STRETCH = 2 * STEP
+
+
 def _needed(n_words: int, percent: int) -> int:
     return -(-n_words * percent // 100)
 
@@ -70,37 +87,47 @@ def read_blocks(docs: DataFrame, percent: int) -> DataFrame:
     """A row per document with the counts of PHRASES and the blocks that pass the length filter.
 
     A block keeps only those of its words that occur in a template; others match
-    nothing.
+    nothing.  A stretch keeps where they stand as well, from 0.
     """
     sets = [set(t.split()) for t, _ in TEMPLATES]
-    vocabulary = F.array(*map(F.lit, sorted(set().union(*sets))))
+    known = sorted(set().union(*sets))
+    vocabulary = F.array(*map(F.lit, known))
     least = min(_needed(len(s), percent) for s in sets)
     low = ascii_lower(full_text())
-    words = F.regexp_extract_all("low", F.lit(TOKEN), F.lit(0))
     hint = F.lit(False)
     for phrase, _ in PHRASES:
         hint = hint | _all([F.contains("low", F.lit(w)) for w in phrase.split()])
     struct = "array<struct<place:int,label:string>>"
     places = F.concat(*[_labelled(_places(F.col("words"), p), label) for p, label in PHRASES])
-    blocks = F.filter(
-        F.transform(F.split("low", "\n"), lambda line: F.array_intersect(vocabulary, F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)))),
-        lambda block: F.size(block) >= least,
-    )
+    lines = F.transform(F.split("low", "\n"), lambda line: F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)))
+    blocks = F.filter(F.transform("lines", lambda line: F.array_intersect(vocabulary, line)), lambda block: F.size(block) >= least)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("words") / F.lit(STEP)).cast("int") - 2))
+    known_at = lambda i: F.filter(F.transform(F.slice("words", i * STEP + 1, STRETCH), lambda w, at: F.struct(at.alias("at"), w.alias("word"))), lambda h: h["word"].isin(known))
+    stretches = F.filter(F.transform(starts, known_at), lambda hits: F.size(hits) >= least)
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
-        .select("doc_id", F.regexp_count("low", F.lit(TOKEN)).cast("long").alias("n_words"), blocks.alias("blocks"), F.when(hint, words).alias("words"))
-        .select("doc_id", "n_words", "blocks", F.when(F.col("words").isNotNull(), places).otherwise(F.array().cast(struct)).alias("places"), F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", lines.alias("lines"), hint.alias("hint"))
+        .select("doc_id", "lines", "hint", F.flatten("lines").alias("words"))
+        # Within one line the line itself is the larger block.
+        .select(
+            "doc_id", F.size("words").cast("long").alias("n_words"), blocks.alias("blocks"),
+            F.when(F.size(F.filter("lines", lambda line: F.size(line) > 0)) > 1, stretches).alias("stretches"),
+            F.when(F.col("hint"), places).otherwise(F.array().cast(struct)).alias("places"), F.monotonically_increasing_id().alias("row"),
+        )
     )
 
 
 def match_templates(rows: DataFrame, percent: int) -> DataFrame:
     """(row, label, part): blocks of ``rows`` and the part of a template that they have, at least ``percent``."""
     spark = rows.sparkSession
-    blocks = rows.select("row", F.posexplode("blocks").alias("b", "block"))
+    nowhere = F.lit(None).cast("array<struct<at:int,word:string>>")
+    whole = F.transform("blocks", lambda block: F.struct(block.alias("block"), nowhere.alias("hits")))
+    parts = F.transform("stretches", lambda hits: F.struct(F.array_distinct(hits["word"]).alias("block"), hits.alias("hits")))
+    blocks = rows.select("row", F.inline(F.concat(whole, F.coalesce(parts, F.array().cast("array<struct<block:array<string>,hits:array<struct<at:int,word:string>>>>")))))
     # The order of words: how many blocks have them, then the word.  At most as
     # many rows as the templates have words, so this and what is made from it is small.
     frequency = staged(blocks.select(F.explode("block").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-frequency")
-    literal = [F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.array(*map(F.lit, sorted(set(text.split())))).alias("words")) for t, (text, label) in enumerate(TEMPLATES)]
+    literal = [F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.array(*map(F.lit, sorted(set(text.split())))).alias("words"), F.lit(_run(text)).alias("run")) for t, (text, label) in enumerate(TEMPLATES)]
     templates = spark.range(1).select(F.inline(F.array(*literal)))
     ranked = (
         templates.select("t", F.explode("words").alias("word")).join(F.broadcast(frequency), "word", "left")
@@ -108,24 +135,31 @@ def match_templates(rows: DataFrame, percent: int) -> DataFrame:
     )
     need = F.ceil(F.size("ordered") * percent / 100.0).cast("int")
     prefix = (
-        ranked.join(templates.select("t", "label", "words"), "t").select("t", "label", "words", need.alias("need"), F.size("ordered").alias("k"), F.posexplode("ordered").alias("p", "entry"))
-        .filter("p <= k - need").select("t", "label", "words", "need", "k", "p", F.col("entry.word").alias("word"))
+        ranked.join(templates.select("t", "label", "words", "run"), "t").select("t", "label", "words", "run", need.alias("need"), F.size("ordered").alias("k"), F.posexplode("ordered").alias("p", "entry"))
+        .filter("p <= k - need").select("t", "label", "words", "run", "need", "k", "p", F.col("entry.word").alias("word"))
     )
     # Each block's words in the same order, by a map from the word to its count.
     counts = frequency.agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
     ordered = blocks.join(F.broadcast(counts)).select(
-        "row", "b", F.sort_array(F.transform("block", lambda w: F.struct(F.element_at("counts", w).alias("n"), w.alias("word")))).alias("entries"), "block",
+        "row", "hits", F.sort_array(F.transform("block", lambda w: F.struct(F.element_at("counts", w).alias("n"), w.alias("word")))).alias("entries"), "block",
     )
     candidates = (
-        ordered.select("row", "b", "block", F.size("entries").alias("m"), F.posexplode("entries").alias("q", "entry"))
-        .select("row", "b", "block", "m", "q", F.col("entry.word").alias("word"))
+        ordered.select("row", "hits", "block", F.size("entries").alias("m"), F.posexplode("entries").alias("q", "entry"))
+        .select("row", "hits", "block", "m", "q", F.col("entry.word").alias("word"))
         .join(F.broadcast(prefix), "word")
         # Length, and position: what can still match after this word.  Words
         # before it in the template may have matched as well, p at most.
         .filter((F.col("m") >= F.col("need")) & (F.least("p", "q") + 1 + F.least(F.col("k") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= F.col("need")))
     )
-    both = F.size(F.array_intersect("block", "words"))
-    return candidates.filter(both >= F.col("need")).select("row", "label", (both / F.col("k")).alias("part"))
+    shared = F.size(F.array_intersect("block", "words"))
+    # A stretch counts by the best of its runs; each may be taken to start at a word of the template.
+    in_run = lambda first: F.array_intersect("words", F.transform(F.filter("hits", lambda h: (h["at"] >= first["at"]) & (h["at"] < first["at"] + F.col("run"))), lambda h: h["word"]))
+    best = F.array_max(F.transform("hits", lambda first: F.size(in_run(first))))
+    return (
+        candidates.filter(shared >= F.col("need"))
+        .select("row", "label", "need", "k", F.when(F.col("hits").isNull(), shared).otherwise(best).alias("both"))
+        .filter("both >= need").select("row", "label", (F.col("both") / F.col("k")).alias("part"))
+    )
 
 
 def scan(docs: DataFrame, *, percent: int = 90) -> DataFrame:
@@ -133,9 +167,9 @@ def scan(docs: DataFrame, *, percent: int = 90) -> DataFrame:
 
     n_base counts all places of PHRASES, first_word and last_word are their
     smallest and largest start (words from 0, null without places), base_labels
-    their labels.  labels adds those of the templates that a line meets; score is
-    the largest part of a template that a line has, 1 where a phrase stands, 0
-    where nothing was found.
+    their labels.  labels adds those of the templates that a line or a run of
+    words across lines meets; score is the largest part of a template that one
+    has, 1 where a phrase stands, 0 where nothing was found.
 
     A null text is an empty one, without words.  Repeated rows each get their
     values.  An empty table gives an empty one.
