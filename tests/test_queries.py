@@ -33,6 +33,19 @@ def test_query(spark, con, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ("unescape_text_whole", "fragment_nodes_whole"))
+def test_whole_tables(spark, con, tmp_path, name):
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
+    texts = [None, "", "a & b", "&lt;b&gt; &amp;amp; &nbsp;\u00a0", "&notin &copy=1 &#60; &", "<p>x</p>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "unescape_text_whole":
+        assert {r["doc_id"]: r["back"] for r in got} == {i: x or "" for i, x in enumerate(texts)}
+    else:
+        assert {r["turn"]: r["n"] for r in got} == dict.fromkeys(range(len(texts)), 1)
+
+
 def test_timer_stream(spark, tmp_path):
     import datetime as dt
 

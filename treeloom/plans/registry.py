@@ -617,6 +617,15 @@ def _fragments(spark, sf_dir):
     return spark.sql("SELECT conv_id, turn, count(*) AS n FROM treeloom_turns, LATERAL parse_fragment(html, 'div') t WHERE t.kind = 'element' GROUP BY 1, 2")
 
 
+@query("fragment_nodes_whole", "SELECT conv_id, turn, count(*) AS n FROM conversations GROUP BY 1, 2")
+def _fragments_whole(spark, sf_dir):
+    """fragment_nodes without its SQL's filter: a null text is an empty one."""
+    html.register(spark)
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<p>"), fn.escape_text(F.coalesce("text", F.lit("")))).alias("html"))
+    rows.createOrReplaceTempView("treeloom_all_turns")
+    return spark.sql("SELECT conv_id, turn, count(*) AS n FROM treeloom_all_turns, LATERAL parse_fragment(html, 'div') t WHERE t.kind = 'element' GROUP BY 1, 2")
+
+
 # -- forms, written from orders and parsed
 
 
@@ -724,6 +733,13 @@ def _unescape(spark, sf_dir):
     return d.select("doc_id", html.unescape(fn.escape_text(F.col("text"))).alias("back"))
 
 
+@query("unescape_text_whole", "SELECT doc_id, coalesce(text, '') AS back FROM documents")
+def _unescape_whole(spark, sf_dir):
+    """unescape_text without its SQL's filter: texts with an ampersand and null ones as well."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("doc_id", html.unescape(fn.escape_text(F.col("text"))).alias("back"))
+
+
 @query("token_lists", """
 SELECT doc_id, lang || ' x' AS added, '' AS removed, CASE WHEN lang = 'en' THEN '' ELSE lang || ' en' END AS toggled FROM documents""")
 def _token_lists(spark, sf_dir):
