@@ -103,3 +103,15 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     assert {r["id"]: r["component"] for r in connected_components(links).collect()} == {x: find(x) for x in parent}
     assert connected_components(links.filter(F.lit(False))).count() == 0
+
+
+def test_misses_of_query(monkeypatch):
+    """A pair at op4's threshold meets in no table with a probability of 2.2e-5 at most."""
+    from treeloom.llm import queries
+
+    given = {}
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    monkeypatch.setattr(queries.near_dedup, "near_duplicates", lambda docs, **kw: given.update(kw))
+    queries.op4_near_dedup(None, "")
+    halves = near_dedup.halves_for(85, 3, given.get("miss", 2e-4))
+    assert halves == 12 and 2 * (1 - 0.85**3) ** halves <= 2.2e-5
