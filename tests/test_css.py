@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from treeloom.plans import css
 from treeloom.plans.compile import query_selector_all
-from treeloom.sources.html import ARROW, node_rows
+from treeloom.sources.html import ARROW, columns, node_rows
 from treeloom.sources.tree_builder import HTML, Node
 from treeloom.schema import NODES
 
@@ -211,7 +211,7 @@ def test_plans_against_naive_matcher(spark):
         ids.update({(i, k): n for k, n in enumerate(doc.walk())})
     import pyarrow as pa
 
-    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+    table = pa.Table.from_arrays(columns(rows), schema=ARROW)
     nodes = spark.createDataFrame(table, NODES).cache()
     picks = [s for s in generate(SELECTORS, 60)][-28:]
     for tree in picks:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from treeloom.sources import html, tokenizer
 from treeloom.sources.entities import unescape
 from treeloom.sources.tokenizer import Characters, Comment, Doctype, EndTag, StartTag, fragment_tokens, tokenize
 from treeloom.sources.tree_builder import Node, outline, parse, parse_fragment
@@ -23,7 +24,7 @@ from treeloom.sources.tree_builder import Node, outline, parse, parse_fragment
     ("<a", []), ("1<2", [Characters("1<2")]), ("</>x", [Characters("x")]), ("a\r\nb\rc", [Characters("a\nb\nc")]),
     ("<a href=x?a=1&lt=2&lt;>", [StartTag("a", [("href", "x?a=1&lt=2<")])]),
 ])
-def test_tokens(html, tokens):
+def test_tokens(html, tokens):  # noqa: F811
     assert tokenize(html) == tokens
 
 
@@ -99,3 +100,26 @@ def test_parse_pages(spark):
     out = {r["doc_id"]: r["html"] for r in text.inner_html(nodes, docs).collect()}
     assert out[1] == "<html><head></head><body><p>a<b>b</b>&amp;</p></body></html>"
     nodes.unpersist()
+
+
+def test_parse_distinct_expands_to_every_row(spark):
+    texts = ["<p>a", "<p>b", "<p>a", None, "", "<p>a"]
+    rows = spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)] + [(None, "<p>z")], "page_id long, html string")
+    nodes, members = html.parse_distinct(rows)
+    got = members.join(nodes.withColumnRenamed("doc_id", "parsed_id"), "parsed_id").select("doc_id", "node_id", "kind", "local_name", "value")
+    want = html.parse_pages(rows.filter("page_id is not null")).select("doc_id", "node_id", "kind", "local_name", "value")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {tuple(r) for r in members.collect()} == {(10, 10), (11, 11), (12, 10), (14, 14), (15, 10)}
+
+
+def test_plain_tags_read_like_any_other():
+    for text in ("<a b=c d>", "<A B='x' b=y>", '<a b="" c=/d/>', "<br a=b/>", "<a b = c>", "<a\nb=1\tc>", "<a =b>", "<a b=c&amp;d>", "<a b='&lt'>", "</a >", "</a b>", "<a1 x-y:z=1>", "<a b=>", "<a b"):
+        fast = list(tokenizer.tokenize(text))
+        slow = tokenizer.Tokenizer(text)
+        attrs, closing, end = ([], False, -1) if text.startswith("</") else slow._attributes(slow._name(1)[1]) if slow._name(1)[1] >= 0 else ([], False, -1)
+        if text.startswith("</"):
+            assert fast == [tokenizer.EndTag("a")]
+        elif end < 0:
+            assert fast == []
+        else:
+            assert fast == [tokenizer.StartTag(slow._name(1)[0], attrs, closing)], text

@@ -629,8 +629,8 @@ def _fragments_whole(spark, sf_dir):
 # -- forms, written from orders and parsed
 
 
-def order_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table of one small form per order."""
+def order_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One small form per order: the node table of the distinct forms, and the parsed form of each order."""
     o = _read(spark, sf_dir, "orders")
     flag = lambda test, text: F.when(F.expr(test), text).otherwise("")
     markup = F.concat(
@@ -638,7 +638,8 @@ def order_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         flag("o_orderpriority = '1-URGENT'", " checked"), F.lit("><input id=d type=number min=100000 value="), F.floor("o_totalprice").cast("string"),
         F.lit('><input id=e required value="'), flag("o_orderstatus <> 'P'", "x"), F.lit('"><button id=f></button></form><div id=h lang='),
         F.when(F.expr("o_orderstatus = 'O'"), "en-US").otherwise("fr"), F.lit("><p id=g>x</p></div>"))
-    return store(html.parse_pages(o.select("o_orderkey", markup.alias("html")), "o_orderkey", "html"))
+    nodes, members = html.parse_distinct(o.select("o_orderkey", markup.alias("html")), "o_orderkey", "html")
+    return store(nodes), members
 
 
 _FORMS = {
@@ -656,7 +657,12 @@ _FORMS = {
 
 
 def _form(selector: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query_selector_all(order_forms(spark, sf_dir), selector).select("doc_id", F.coalesce("id", "local_name").alias("id"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes, members = order_forms(spark, sf_dir)
+        found = query_selector_all(nodes, selector).select(F.col("doc_id").alias("parsed_id"), F.coalesce("id", "local_name").alias("id"))
+        return members.join(found, "parsed_id").select("doc_id", "id")
+
+    return run
 
 
 for _selector_text, _sql in _FORMS.items():

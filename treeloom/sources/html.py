@@ -29,6 +29,8 @@ _ROWS = 8192
 def node_rows(doc_id: int | None, root: Node, first: int = 0, ids: dict[Node, int] | None = None, extra: dict[Node, dict] | None = None) -> list[tuple]:
     """Rows in the order of ARROW; trees of template contents follow the tree that refers to them.
 
+    attrs holds pairs and attr_list the nodes' own tuples; ``columns`` makes Arrow of both.
+
     ``ids`` names nodes that keep their identity, else a node's id is its place;
     ``extra`` has further columns of some nodes.
     """
@@ -59,8 +61,7 @@ def node_rows(doc_id: int | None, root: Node, first: int = 0, ids: dict[Node, in
                 doc_id, own, root_id, parent_id, parent_type, number, number, depth, sib, *ordinals,
                 sum(1 for c in n.children if c.kind in ("element", "text")), n.kind, node_type, n.name, n.ns,
                 by_name.get("id"), list(dict.fromkeys(by_name["class"].split())) if "class" in by_name else [] if node_type == 1 else None,
-                list(by_name.items()) if node_type == 1 else None,
-                [dict(zip(_ATTR_NAMES, (i, *a))) for i, a in enumerate(attrs)] if node_type == 1 else None,
+                list(by_name.items()) if node_type == 1 else None, attrs if node_type == 1 else None,
                 n.value, n.public_id, n.system_id, None, None, None, None, None, None, None,
             ]
             if extra and n in extra:
@@ -89,11 +90,36 @@ def node_rows(doc_id: int | None, root: Node, first: int = 0, ids: dict[Node, in
     return [tuple(r) for r in out]
 
 
-_ATTR_NAMES = [f.name for f in _ATTR]
+def _offsets(lists) -> tuple[pa.Array, list]:
+    """Arrow offsets of nullable lists, and their items in one list."""
+    at, flat = [], []
+    for x in lists:
+        at.append(None if x is None else len(flat))
+        if x:
+            flat.extend(x)
+    return pa.array([*at, len(flat)], pa.int32()), flat
+
+
+def _map(lists) -> pa.Array:
+    offsets, flat = _offsets(lists)
+    return pa.MapArray.from_arrays(offsets, pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string()))
+
+
+def _attr_lists(lists) -> pa.Array:
+    offsets, flat = _offsets(lists)
+    order = [i for x in lists if x for i in range(len(x))]
+    columns = [order, *(zip(*flat) if flat else [[]] * 5)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ATTR)], fields=list(_ATTR)))
+
+
+def columns(rows: list[tuple]) -> list[pa.Array]:
+    """Arrow columns of node rows; nested ones from flat lists, not value by value."""
+    made = {"attrs": _map, "attr_list": _attr_lists}
+    return [made[f.name](c) if f.name in made else pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+    return pa.RecordBatch.from_arrays(columns(rows), schema=ARROW)
 
 
 def parse_pages(pages: DataFrame, doc_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -117,6 +143,23 @@ def parse_pages(pages: DataFrame, doc_id: str = "page_id", html: str = "html") -
     return pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInArrow(run, NODES)
 
 
+def parse_distinct(pages: DataFrame, doc_id: str = "page_id", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(nodes, members): every distinct text is parsed once, as the document of the smallest id that has it.
+
+    ``members`` (doc_id, parsed_id) names the parsed document of each row, so what is
+    found in a tree is joined back to all its copies.  Texts are told apart by SHA-256.
+    Ids must be unique; rows with a null text or a null id have no nodes and no members.
+    """
+    rows = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).filter("doc_id is not null and html is not null")
+    keyed = rows.select("doc_id", F.unhex(F.sha2("html", 256)).alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("parsed_id"))
+    members = keyed.join(first, "digest").select("doc_id", "parsed_id")
+    texts = rows.join(first.select(F.col("parsed_id").alias("doc_id")), "doc_id", "left_semi")
+    # Parsing costs far more than its bytes suggest, so the partitions are not merged by size.
+    texts = texts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return parse_pages(texts, "doc_id", "html"), members
+
+
 def parse_fragments(rows: DataFrame, context: str = "div", doc_id: str = "doc_id", html: str = "html") -> DataFrame:
     """The node table of HTML fragments; each is the content of a document fragment at node 0."""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from .entities import unescape
 
@@ -56,6 +57,11 @@ _ATTRIBUTE_NAME_END = re.compile(r"[\t\n\f />=]")
 _SPACES = re.compile(r"[\t\n\f ]*")
 _UNQUOTED = re.compile(r"[^\t\n\f >]*")
 _COMMENT_END = re.compile(r"--!?>")
+#: Tags without references, nulls or errors; any other is read attribute by attribute.
+_VALUE = r"\"([^\"&\0]*)\"|'([^'&\0]*)'|([^\t\n\f\r \"'`=<>&\0]+)"
+_PLAIN_ATTRIBUTE = re.compile(rf"[\t\n\f ]+([A-Za-z_][A-Za-z0-9_.:-]*)(?:=(?:{_VALUE}))?")
+_PLAIN_START = re.compile(r"<([A-Za-z][A-Za-z0-9]*)((?:[\t\n\f ]+[A-Za-z_][A-Za-z0-9_.:-]*(?:=(?:\"[^\"&\0]*\"|'[^'&\0]*'|[^\t\n\f\r \"'`=<>&\0]+))?+)*+)[\t\n\f ]*+>")
+_PLAIN_END = re.compile(r"</([A-Za-z][A-Za-z0-9]*)[\t\n\f ]*>")
 
 
 def normalize_newlines(html: str) -> str:
@@ -67,6 +73,15 @@ def lower(text: str) -> str:
     return text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
 
 
+@lru_cache(maxsize=16384)
+def _plain_attributes(text: str) -> tuple[tuple[str, str], ...]:
+    """The attributes of a plain start tag; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _PLAIN_ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return tuple(out.items())
+
+
 class Tokenizer:
     def __init__(self, html: str):
         self.text = normalize_newlines(html)
@@ -216,6 +231,11 @@ class Tokenizer:
         return lower(self.text[at : m.start()]).replace("\0", "�"), m.start()
 
     def _start_tag(self) -> Token | None:
+        if m := _PLAIN_START.match(self.text, self.at):
+            self.at, self.last_start = m.end(), m[1].lower()
+            # Only short texts are worth keeping.
+            read = _plain_attributes if m.end(2) - m.start(2) < 256 else _plain_attributes.__wrapped__
+            return StartTag(self.last_start, list(read(m[2])) if m[2] else [])
         name, at = self._name(self.at + 1)
         attrs, closing, end = self._attributes(at) if at >= 0 else ([], False, -1)
         if end < 0:  # the text ends within the tag
@@ -225,6 +245,9 @@ class Tokenizer:
         return StartTag(name, attrs, closing)
 
     def _end_tag(self) -> Token | None:
+        if m := _PLAIN_END.match(self.text, self.at):
+            self.at = m.end()
+            return EndTag(m[1].lower())
         name, at = self._name(self.at + 2)
         end = self._attributes(at)[2] if at >= 0 else -1
         if end < 0:
