@@ -2,13 +2,16 @@
 
 A batch of edits is a table (doc_id, seq, op, target_id, parent_id, reference_id,
 name, value).  Edits of one document depend on each other, so they are applied in
-order in one group per document; documents without edits never leave the JVM.
+order, document after document in a stream of sorted rows; documents without edits
+never leave the JVM, and columns that no edit changes are never turned into Python
+values.  A task holds one batch of whole documents, or one document if it is larger.
 node_ids survive, the numbering is made anew.  Removals of many subtrees and
 changes of attributes that need no order are plain DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ATTRIBUTE_NAMESPACES, NODES
 from ..sources import tree_builder
-from ..sources.html import ARROW, node_rows
+from ..sources.html import ARROW, EXTRA, PLACE, columns, payload, places
 from ..sources.tree_builder import Node
 from .axes import rows_of
 from .intervals import semi, within
@@ -26,7 +29,6 @@ EDITS = "doc_id long, seq long, op string, target_id long, parent_id long, refer
 MUTATION = "seq long, type string, target_id long, attribute_name string, old_value string, added array<long>, removed array<long>, prev_id long, next_id long"
 #: Elements that may host a shadow tree, besides custom ones.
 SHADOW_HOSTS = frozenset("article aside blockquote body div footer h1 h2 h3 h4 h5 h6 header main nav p section span".split())
-_KEPT = ("shadow_root_id", "host_id", "shadow_mode", "slot_assignment", "checked", "indeterminate")
 
 
 class EditError(ValueError):
@@ -37,38 +39,66 @@ class EditError(ValueError):
         self.kind = kind
 
 
+class Stored(Node):
+    """A node of the table; its attributes are read when they are asked for."""
+
+    __slots__ = ("row", "_attrs", "_lists")
+
+    def __init__(self, kind: str, name: str | None, ns: str | None, value: str | None, row: int, lists: pa.Array):
+        self.kind, self.name, self.ns, self.value, self.row = kind, name, ns, value, row
+        self.children, self.parent, self.content = [], None, None
+        self.public_id = self.system_id = None
+        self._attrs, self._lists = None, lists
+
+    @property
+    def attrs(self) -> list[tuple]:
+        if self._attrs is None:
+            self._attrs = [(a["prefix"], a["local"], a["url"], a["qname"], a["value"]) for a in self._lists[self.row].as_py() or ()]
+        return self._attrs
+
+
+#: The columns of every node that Python sees; the others are carried along as Arrow.
+_SEEN = ("node_id", "parent_id", "kind", "local_name", "namespace", "value", "public_id", "system_id", "content_root_id", *EXTRA)
+
+
 class Document:
-    """The trees of one document, open for edits."""
+    """The trees of one document, open for edits: the rows ``start`` to ``end`` of a table, in order of pre."""
 
-    def __init__(self, doc_id: int, rows: list[dict]):
+    def __init__(self, doc_id: int | None, seen: dict[str, list], lists: pa.Array, start: int, end: int):
         self.doc_id = doc_id
         self.nodes: dict[int, Node] = {}
         self.ids: dict[Node, int] = {}
         self.extra: dict[Node, dict] = {}
+        self.changed: set[Node] = set()  # stored nodes whose own columns are no longer the table's
         self.roots: list[Node] = []
         self.mutations: list[tuple] = []
         self.seq = 0
         self.top = -1
         contents = {}
-        for r in sorted(rows, key=lambda r: r["pre"]):
-            n = Node(r["kind"], r["local_name"], r["namespace"], [(a["prefix"], a["local"], a["url"], a["qname"], a["value"]) for a in r["attr_list"] or ()], r["value"])
-            n.public_id, n.system_id = r["public_id"], r["system_id"]
-            self._own(n, r["node_id"])
-            kept = {c: r[c] for c in _KEPT if r[c] is not None}
-            if kept:
-                self.extra[n] = kept
-            if r["content_root_id"] is not None:
-                contents[r["content_root_id"]] = n
-            if r["parent_id"] is not None:
-                self.nodes[r["parent_id"]].append(n)
-            elif r["node_id"] in contents:
-                contents[r["node_id"]].content = n
+        if end > start:
+            self.top = max(seen["node_id"][start:end])
+        node_ids, parents, kinds, names, spaces, values, publics, systems, content_ids = (seen[c] for c in _SEEN[:9])
+        kept = [(c, seen[c]) for c in EXTRA if c in seen]
+        for i in range(start, end):
+            n = Stored(kinds[i], names[i], spaces[i], values[i], i, lists)
+            if n.kind == "document_type":
+                n.public_id, n.system_id = publics[i], systems[i]
+            node_id, parent_id = node_ids[i], parents[i]
+            self.nodes[node_id], self.ids[n] = n, node_id
+            if kept and (more := {c: v[i] for c, v in kept if v[i] is not None}):
+                self.extra[n] = more
+            if content_ids[i] is not None:
+                contents[content_ids[i]] = n
+            if parent_id is not None:
+                n.parent = self.nodes[parent_id]
+                n.parent.children.append(n)
+            elif node_id in contents:
+                contents[node_id].content = n
             else:
                 self.roots.append(n)
 
-    def _own(self, n: Node, node_id: int | None = None) -> Node:
-        node_id = self.top + 1 if node_id is None else node_id
-        self.top = max(self.top, node_id)
+    def _own(self, n: Node) -> Node:
+        node_id = self.top = self.top + 1
         self.nodes[node_id], self.ids[n] = n, node_id
         return n
 
@@ -197,6 +227,7 @@ class Document:
         same = (lambda a: (a[2], a[1]) == (url, local)) if has_ns else (lambda a: a[3] == qname)
         at = next((i for i, a in enumerate(n.attrs) if same(a)), None)
         old = None if at is None else n.attrs[at][4]
+        self.changed.add(n)
         if value is None:
             if at is None:
                 return
@@ -212,6 +243,7 @@ class Document:
         if n.kind not in ("text", "comment"):
             raise EditError("hierarchy request", "no character data")
         old, n.value = n.value, value
+        self.changed.add(n)
         self.record("character_data", n, old=old)
 
     def normalize(self, n: Node) -> None:
@@ -340,88 +372,170 @@ class Document:
             if target.kind != "element" or not (target.name in SHADOW_HOSTS or "-" in target.name) or self.extra.get(target, {}).get("shadow_root_id") is not None:
                 raise EditError("not supported")
             shadow = self.create("shadow_root")
+            self.changed.add(target)
             self.extra.setdefault(target, {})["shadow_root_id"] = self.ids[shadow]
             self.extra[shadow] = {"host_id": self.ids[target], "shadow_mode": name or "open", "slot_assignment": value or "named"}
         elif op == "set_checked":
+            self.changed.add(target)
             self.extra.setdefault(target, {})["checked"] = value == "true"
         elif op == "set_indeterminate":
+            self.changed.add(target)
             self.extra.setdefault(target, {})["indeterminate"] = value == "true"
         else:
             raise EditError("unknown operation", op)
 
-    def rows(self) -> list[tuple]:
-        out: list[tuple] = []
+    def place(self) -> tuple[list[tuple[Node, list]], dict[Node, int]]:
+        """All nodes in order with the columns of their places, and the content roots by template."""
+        out, contents = [], {}
         for root in self.roots:
-            if root.kind == "document_fragment" and not root.children and root in self.ids and self.ids[root] > 0 and root.parent is None and root not in self.extra:
+            if root.kind == "document_fragment" and not root.children and root.parent is None and self.ids[root] > 0 and root not in self.extra:
                 continue  # an emptied fragment
-            out += node_rows(self.doc_id, root, len(out), self.ids, self.extra)
-        return out
+            more, inner = places(self.doc_id, root, len(out), self.ids)
+            out += more
+            contents |= inner
+        return out, contents
 
 
 @dataclass
 class Edited:
-    """What a batch of edits leads to.  ``everything`` is computed anew by each part unless it is staged or cached."""
+    """What a batch of edits leads to.  Each part is a plan of its own and computes no other."""
 
-    everything: DataFrame
+    given: DataFrame
     untouched: DataFrame
 
     @property
     def nodes(self) -> DataFrame:
-        return self.everything.filter("what = 'node'").select("node.*").unionByName(self.untouched)
+        return self.given.mapInArrow(_running("nodes"), NODES).unionByName(self.untouched)
 
     @property
     def mutations(self) -> DataFrame:
         """doc_id, seq, type, target_id, attribute_name, old_value, added, removed, prev_id, next_id in order."""
-        return self.everything.filter("what = 'mutation'").select("doc_id", "mutation.*")
+        return self._thin().mapInArrow(_running("mutations"), f"doc_id long, {MUTATION}")
 
     @property
     def errors(self) -> DataFrame:
         """doc_id, seq, error of the edits that were refused; they changed nothing."""
-        return self.everything.filter("what = 'error'").select("doc_id", "seq", "error")
-
-
-_MUTATION = pa.struct([("seq", pa.int64()), ("type", pa.string()), ("target_id", pa.int64()), ("attribute_name", pa.string()), ("old_value", pa.string()), ("added", pa.list_(pa.int64())), ("removed", pa.list_(pa.int64())), ("prev_id", pa.int64()), ("next_id", pa.int64())])
-_NODE = pa.struct(list(ARROW))
+        return self._thin().mapInArrow(_running("errors"), "doc_id long, seq long, error string")
+
+    def _thin(self) -> DataFrame:
+        return self.given.select("doc_id", *_SEEN, "attr_list", "_edit")
+
+
+_MUTATION = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("type", pa.string()), ("target_id", pa.int64()), ("attribute_name", pa.string()), ("old_value", pa.string()), ("added", pa.list_(pa.int64())), ("removed", pa.list_(pa.int64())), ("prev_id", pa.int64()), ("next_id", pa.int64())])
+_ERROR = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("error", pa.string())])
+_BEHIND = list(ARROW)[PLACE:]
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list]]:
+    """Tables of whole documents with their doc_ids, of rows sorted by document."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = _values(batch["doc_id"])
+        if held and ids[0] == ids[-1] == held[-1]["doc_id"][-1].as_py():
+            held.append(batch)  # a document of more than a batch
+            continue
+        cut = batch.num_rows
+        while cut and ids[cut - 1] == ids[-1]:
+            cut -= 1
+        if held and (cut or ids[0] != held[-1]["doc_id"][-1].as_py()):
+            held.append(batch.slice(0, cut))
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table, _values(table["doc_id"])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks(), ids[:cut]
+        held.append(batch.slice(cut))
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _values(table["doc_id"])
+
+
+def _values(column: pa.ChunkedArray | pa.Array) -> list:
+    """Python values of a column of numbers or strings."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    return column.to_pandas(integer_object_nulls=True).tolist()
+
+
+def _edited(table: pa.Table, ids: list) -> Iterator[tuple[Document, list[tuple]]]:
+    """The documents of a table after their edits, and what was refused."""
+    given = table["_edit"].is_valid()
+    edits = [None] * table.num_rows
+    for i, e in zip(given.to_numpy().nonzero()[0].tolist(), table["_edit"].filter(given).to_pylist()):
+        edits[i] = e
+    # The last columns concern shadow trees and form state; mostly there is nothing in them.
+    seen = {c: _values(table[c]) for c in _SEEN if c not in EXTRA or table[c].null_count < table.num_rows}
+    lists = table["attr_list"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    start = 0
+    while start < len(ids):
+        end = start
+        while end < len(ids) and ids[end] == ids[start] and edits[end] is None:
+            end += 1
+        doc, errors = Document(ids[start], seen, lists, start, end), []
+        start_of_edits = end
+        while end < len(ids) and ids[end] == ids[start]:
+            end += 1
+        for e in edits[start_of_edits:end]:
+            try:
+                doc.apply(e)
+            except EditError as error:
+                errors.append((doc.doc_id, e["seq"], error.kind))
+        yield doc, errors
+        start = end
+
+
+def _running(what: str):
+    """The function over sorted partitions that gives nodes, mutations or errors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ids in _whole_documents(batches):
+            rows: list[tuple] = []
+            at: list[int] = []  # per node the row of its own columns: of the table, or behind it of the new ones
+            fresh: list[tuple] = []
+            for doc, errors in _edited(table, ids):
+                if what == "errors":
+                    rows += errors
+                elif what == "mutations":
+                    rows += [(doc.doc_id, *m) for m in doc.mutations]
+                else:
+                    placed, contents = doc.place()
+                    for n, row in placed:
+                        rows.append(row)
+                        if isinstance(n, Stored) and n not in doc.changed:
+                            at.append(n.row)
+                        else:
+                            at.append(table.num_rows + len(fresh))
+                            fresh.append(payload(n, contents.get(n), doc.extra.get(n)))
+            if not rows:
+                continue
+            if what != "nodes":
+                schema = _ERROR if what == "errors" else _MUTATION
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                continue
+            place = [pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)]
+            behind = table.select([f.name for f in _BEHIND]).cast(pa.schema(_BEHIND))
+            if fresh:
+                behind = pa.concat_tables([behind, pa.Table.from_arrays(columns(fresh, _BEHIND), schema=behind.schema)])
+            took = behind.take(pa.array(at, pa.int64())).combine_chunks()
+            out = pa.Table.from_arrays([*place, *took.columns], schema=ARROW)
+            yield from out.to_batches()
+
+    return run
 
 
 def apply_edits(nodes: DataFrame, edits: DataFrame) -> Edited:
-    """Apply edits in order of seq to their documents."""
+    """Apply edits in order of seq to their documents; edits of documents without nodes are refused."""
     touched = edits.select("doc_id").distinct()
     mine = semi(nodes, touched, [("doc_id", "doc_id")])
     rest = semi(nodes, touched, [("doc_id", "doc_id")], how="left_anti")
-
-    def run(n: pa.Table, e: pa.Table) -> pa.Table:
-        rows = n.to_pylist()
-        ordered = sorted(e.to_pylist(), key=lambda r: r["seq"])
-        doc_id = (rows or ordered)[0]["doc_id"]
-        doc = Document(doc_id, [{**r, "attrs": None} for r in rows])
-        out = {"doc_id": [], "seq": [], "what": [], "node": [], "mutation": [], "error": []}
-
-        def add(what, seq=None, node=None, mutation=None, error=None):
-            for k, v in zip(out, (doc_id, seq, what, node, mutation, error)):
-                out[k].append(v)
-
-        for r in ordered:
-            try:
-                doc.apply(r)
-            except EditError as error:
-                add("error", r["seq"], error=error.kind)
-        for row in doc.rows():
-            add("node", node=dict(zip(ARROW.names, row)))
-        for m in doc.mutations:
-            add("mutation", m[0], mutation=dict(zip([f.name for f in _MUTATION], m)))
-        types = {"doc_id": pa.int64(), "seq": pa.int64(), "what": pa.string(), "node": _NODE, "mutation": _MUTATION, "error": pa.string()}
-        return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
-
-    schema = f"doc_id long, seq long, what string, node {NODES.simpleString()}, mutation struct<{_ddl(MUTATION)}>, error string"
-    # A key of its own, as the edits may come from the same nodes.
-    own = edits.select((F.col("doc_id") + 0).alias("doc_id"), *[c.split()[0] for c in EDITS.split(", ")][1:])
-    both = mine.groupBy("doc_id").cogroup(own.groupBy("doc_id")).applyInArrow(run, schema)
-    return Edited(both, rest)
-
-
-def _ddl(columns: str) -> str:
-    return ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", "))
+    names = [c.split()[0] for c in EDITS.split(", ")]
+    own = edits.select("doc_id", F.struct(*names[1:]).alias("_edit"))
+    both = mine.select(*NODES.names).unionByName(own, allowMissingColumns=True)
+    order = [F.col("doc_id"), F.col("_edit").isNotNull(), F.col("pre"), F.col("_edit.seq")]
+    return Edited(both.repartition("doc_id").sortWithinPartitions(*order), rest)
 
 
 # -- set-wise edits

@@ -26,68 +26,82 @@ ARROW = pa.schema([
 _ROWS = 8192
 
 
-def node_rows(doc_id: int | None, root: Node, first: int = 0, ids: dict[Node, int] | None = None, extra: dict[Node, dict] | None = None) -> list[tuple]:
-    """Rows in the order of ARROW; trees of template contents follow the tree that refers to them.
+#: The first columns of a node row say where a node is, the others what it is.
+PLACE = 14
 
-    attrs holds pairs and attr_list the nodes' own tuples; ``columns`` makes Arrow of both.
 
-    ``ids`` names nodes that keep their identity, else a node's id is its place;
-    ``extra`` has further columns of some nodes.
+def places(doc_id: int | None, root: Node, first: int = 0, ids: dict[Node, int] | None = None) -> tuple[list[tuple[Node, list]], dict[Node, int]]:
+    """The nodes of a tree in order with the columns of their places, and content roots by template.
+
+    Trees of template contents follow the tree that refers to them.  ``ids`` names
+    nodes that keep their identity, else a node's id is its place.
     """
-    name = (lambda n, at: at) if ids is None else (lambda n, at: ids[n])
-    out: list[list] = []
+    out: list[tuple[Node, list]] = []
+    contents: dict[Node, int] = {}
     waiting = [(root, None)]
     number = first
-    position = {c: i for i, c in enumerate(ARROW.names)}
-    while waiting:
-        tree, owner = waiting.pop(0)
-        root_id = name(tree, number)
+    for tree, owner in waiting:
+        root_id = number if ids is None else ids[tree]
         if owner is not None:
-            out[owner][position["content_root_id"]] = root_id
-        stack: list = [(tree, None, None, 0, 0, (None, None, None, None))]
-        closing: list[list] = []
+            contents[owner] = root_id
+        stack: list = [(tree, None, None, 0, 0, None, None, None, None)]
         while stack:
             item = stack.pop()
             if len(item) == 1:
-                closing.pop()[position["last"]] = number - 1
+                item[0][6] = number - 1
                 continue
-            n, parent_id, parent_type, depth, sib, ordinals = item
-            node_type = KINDS[n.kind]
-            attrs = n.attrs
-            by_name = {a[3]: a[4] for a in attrs}
-            elements = [c for c in n.children if c.kind == "element"]
-            own = name(n, number)
-            row = [
-                doc_id, own, root_id, parent_id, parent_type, number, number, depth, sib, *ordinals,
-                sum(1 for c in n.children if c.kind in ("element", "text")), n.kind, node_type, n.name, n.ns,
-                by_name.get("id"), list(dict.fromkeys(by_name["class"].split())) if "class" in by_name else [] if node_type == 1 else None,
-                list(by_name.items()) if node_type == 1 else None, attrs if node_type == 1 else None,
-                n.value, n.public_id, n.system_id, None, None, None, None, None, None, None,
-            ]
-            if extra and n in extra:
-                for c, v in extra[n].items():
-                    row[position[c]] = v
-            out.append(row)
+            n, parent_id, parent_type, depth, sib, k, total, t, same = item
+            own = number if ids is None else ids[n]
+            row = [doc_id, own, root_id, parent_id, parent_type, number, number, depth, sib, k, total, t, same, 0]
+            out.append((n, row))
             if n.content is not None:
-                waiting.append((n.content, len(out) - 1))
+                waiting.append((n.content, n))
             number += 1
-            if n.children:
-                closing.append(row)
-                stack.append((None,))
+            children = n.children
+            if children:
+                stack.append((row,))
                 totals: dict[tuple, int] = {}
-                for c in elements:
-                    totals[c.name, c.ns] = totals.get((c.name, c.ns), 0) + 1
-                seen: dict[tuple, int] = {}
-                children, k = [], 0
-                for i, c in enumerate(n.children):
-                    ords: tuple = (None, None, None, None)
+                count = texts = 0
+                for c in children:
+                    if c.kind == "element":
+                        count += 1
+                        totals[c.name, c.ns] = totals.get((c.name, c.ns), 0) + 1
+                    elif c.kind == "text":
+                        texts += 1
+                row[13] = count + texts
+                node_type, seen, k, below = KINDS[n.kind], {}, 0, []
+                for i, c in enumerate(children):
                     if c.kind == "element":
                         k += 1
-                        t = seen[c.name, c.ns] = seen.get((c.name, c.ns), 0) + 1
-                        ords = (k, len(elements), t, totals[c.name, c.ns])
-                    children.append((c, own, node_type, depth + 1, i, ords))
-                stack.extend(reversed(children))
-    return [tuple(r) for r in out]
+                        key = c.name, c.ns
+                        seen[key] = t = seen.get(key, 0) + 1
+                        below.append((c, own, node_type, depth + 1, i, k, count, t, totals[key]))
+                    else:
+                        below.append((c, own, node_type, depth + 1, i, None, None, None, None))
+                below.reverse()
+                stack += below
+    return out, contents
+
+
+def payload(n: Node, content_id: int | None = None, extra: dict | None = None) -> tuple:
+    """The columns of a node row behind its place; attrs holds pairs and attr_list the node's own tuples."""
+    more = extra or {}
+    rest = (n.value, n.public_id, n.system_id, content_id, *(more.get(c) for c in EXTRA))
+    if n.kind != "element":
+        return (n.kind, KINDS[n.kind], n.name, n.ns, None, None, None, None, *rest)
+    by_name = {a[3]: a[4] for a in n.attrs}
+    tokens = list(dict.fromkeys(by_name["class"].split())) if "class" in by_name else []
+    return ("element", 1, n.name, n.ns, by_name.get("id"), tokens, list(by_name.items()), n.attrs, *rest)
+
+
+#: The last columns, which a parse leaves null.
+EXTRA = tuple(ARROW.names[-6:])
+
+
+def node_rows(doc_id: int | None, root: Node, first: int = 0) -> list[tuple]:
+    """Rows in the order of ARROW of a parsed tree; ``columns`` makes Arrow of them."""
+    placed, contents = places(doc_id, root, first)
+    return [(*row, *payload(n, contents.get(n))) for n, row in placed]
 
 
 def _offsets(lists) -> tuple[pa.Array, list]:
@@ -112,10 +126,11 @@ def _attr_lists(lists) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ATTR)], fields=list(_ATTR)))
 
 
-def columns(rows: list[tuple]) -> list[pa.Array]:
-    """Arrow columns of node rows; nested ones from flat lists, not value by value."""
+def columns(rows: list[tuple], fields: list[pa.Field] | None = None) -> list[pa.Array]:
+    """Arrow columns of node rows (or their part ``fields``); nested ones from flat lists, not value by value."""
     made = {"attrs": _map, "attr_list": _attr_lists}
-    return [made[f.name](c) if f.name in made else pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)]
+    fields = list(ARROW) if fields is None else fields
+    return [made[f.name](c) if f.name in made else pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -29,6 +29,14 @@ def _shape(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[(columns[f.name] if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NODES])
 
 
+def _pairs(df: DataFrame, both: dict[str, Column], first: dict[str, Column], second: dict[str, Column]) -> DataFrame:
+    """Two nodes for each row, so that the rows are made once for both."""
+    names = dict.fromkeys([*first, *second])
+    null = F.lit(None)
+    either = {c: F.when(F.col("_part") == 0, first.get(c, null)).otherwise(second.get(c, null)) for c in names}
+    return _shape(df.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1)))), **both, **either)
+
+
 def orders_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node table of all customers."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -55,28 +63,30 @@ def orders_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.lit(1) + F.coalesce("nodes", F.lit(0))
     one = F.lit(1)
     html = F.lit(None).cast("string")
-    doc = dict(doc_id=F.col("c_custkey"), root_id=F.lit(0))
+    customer = dict(
+        node_id=one, parent_id=F.lit(0), parent_type=F.lit(DOCUMENT), pre=one, last=end, depth=one, sib_idx=F.lit(0), elem_idx=one, elem_cnt=one,
+        type_idx=one, type_cnt=one, content_child_cnt=F.coalesce("of", F.lit(0)), kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("customer"), namespace=html,
+        id=F.concat(F.lit("c"), F.col("c_custkey").cast("string")), class_tokens=F.array(F.lower("c_mktsegment")),
+        **_attributes([("id", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))), ("class", F.lower("c_mktsegment")), ("name", F.col("c_name")), ("nation", F.col("n_name"))]))
+    line = dict(
+        node_id=line_pre, parent_id=F.col("o_pre"), pre=line_pre, last=line_pre + 1, depth=F.lit(3), sib_idx=F.col("i") - 1, elem_idx=F.col("i"), elem_cnt=F.col("o_n"),
+        type_idx=F.col("t"), type_cnt=F.col("t_n"), content_child_cnt=one, kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.col("name"), namespace=html,
+        class_tokens=F.array().cast("array<string>"),
+        **_attributes([("flag", F.col("l_returnflag")), ("status", F.col("l_linestatus")), ("quantity", F.col("l_quantity").cast("int").cast("string"))]))
     return (
-        _shape(owners, **doc, node_id=F.lit(0), pre=F.lit(0), last=end, depth=F.lit(0), sib_idx=F.lit(0), content_child_cnt=one, kind=F.lit("document"), node_type=F.lit(DOCUMENT))
-        .unionByName(_shape(
-            owners, **doc, node_id=one, parent_id=F.lit(0), parent_type=F.lit(DOCUMENT), pre=one, last=end, depth=one, sib_idx=F.lit(0), elem_idx=one, elem_cnt=one,
-            type_idx=one, type_cnt=one, content_child_cnt=F.coalesce("of", F.lit(0)), kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("customer"), namespace=html,
-            id=F.concat(F.lit("c"), F.col("c_custkey").cast("string")), class_tokens=F.array(F.lower("c_mktsegment")),
-            **_attributes([("id", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))), ("class", F.lower("c_mktsegment")), ("name", F.col("c_name")), ("nation", F.col("n_name"))])))
+        _pairs(
+            owners, dict(doc_id=F.col("c_custkey"), root_id=F.lit(0)),
+            dict(node_id=F.lit(0), pre=F.lit(0), last=end, depth=F.lit(0), sib_idx=F.lit(0), content_child_cnt=one, kind=F.lit("document"), node_type=F.lit(DOCUMENT)), customer)
         .unionByName(_shape(
             orders, doc_id=F.col("o_custkey"), root_id=F.lit(0), node_id=F.col("pre"), parent_id=one, parent_type=F.lit(ELEMENT), pre=F.col("pre"), last=F.col("pre") + 2 * F.col("n"),
             depth=F.lit(2), sib_idx=F.col("k") - 1, elem_idx=F.col("k"), elem_cnt=F.col("of"), type_idx=F.col("k"), type_cnt=F.col("of"), content_child_cnt=F.col("n"),
             kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("order"), namespace=html, id=F.concat(F.lit("o"), F.col("o_orderkey").cast("string")),
             class_tokens=F.array(F.lower("o_orderstatus")),
             **_attributes([("id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), ("class", F.lower("o_orderstatus")), ("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))])))
-        .unionByName(_shape(
-            placed, doc_id=F.col("o_custkey"), root_id=F.lit(0), node_id=line_pre, parent_id=F.col("o_pre"), parent_type=F.lit(ELEMENT), pre=line_pre, last=line_pre + 1, depth=F.lit(3),
-            sib_idx=F.col("i") - 1, elem_idx=F.col("i"), elem_cnt=F.col("o_n"), type_idx=F.col("t"), type_cnt=F.col("t_n"), content_child_cnt=one, kind=F.lit("element"), node_type=F.lit(ELEMENT),
-            local_name=F.col("name"), namespace=html, class_tokens=F.array().cast("array<string>"),
-            **_attributes([("flag", F.col("l_returnflag")), ("status", F.col("l_linestatus")), ("quantity", F.col("l_quantity").cast("int").cast("string"))])))
-        .unionByName(_shape(
-            placed, doc_id=F.col("o_custkey"), root_id=F.lit(0), node_id=line_pre + 1, parent_id=line_pre, parent_type=F.lit(ELEMENT), pre=line_pre + 1, last=line_pre + 1, depth=F.lit(4),
-            sib_idx=F.lit(0), content_child_cnt=F.lit(0), kind=F.lit("text"), node_type=F.lit(TEXT), value=F.col("l_partkey").cast("string")))
+        .unionByName(_pairs(
+            placed, dict(doc_id=F.col("o_custkey"), root_id=F.lit(0), parent_type=F.lit(ELEMENT)), line,
+            dict(node_id=line_pre + 1, parent_id=line_pre, pre=line_pre + 1, last=line_pre + 1, depth=F.lit(4), sib_idx=F.lit(0), content_child_cnt=F.lit(0), kind=F.lit("text"),
+                 node_type=F.lit(TEXT), value=F.col("l_partkey").cast("string"))))
     )
 
 
