@@ -36,3 +36,10 @@ def test_null_ids(spark):
     got = exact_dedup.decide(d).collect()
     assert sorted((r["keep_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, 1, True), (3, 3, False), (3, 3, False), (3, 3, True)]
     assert exact_dedup.drop_duplicates(d).count() == 2
+
+
+def test_columns_that_clash_with_internal_names(spark):
+    from treeloom.llm import exact_dedup
+
+    docs = spark.createDataFrame([(1, "a", "o1", "k1", "d"), (2, "A", "o2", "k2", "d"), (3, "b", "o3", "k3", "d"), (3, "b", "o3", "k3", "d")], "doc_id long, text string, _own string, _keep string, _digest string")
+    assert sorted(map(tuple, exact_dedup.drop_duplicates(docs).collect())) == [(2, "A", "o2", "k2", "d"), (3, "b", "o3", "k3", "d")]

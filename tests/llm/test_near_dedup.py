@@ -115,3 +115,17 @@ def test_misses_of_query(monkeypatch):
     queries.op4_near_dedup(None, "")
     halves = near_dedup.halves_for(85, 3, given.get("miss", 2e-4))
     assert halves == 12 and 2 * (1 - 0.85**3) ** halves <= 2.2e-5
+
+
+def test_labels_leave_out_what_is_linked(spark):
+    """A family linked to one leader has no rows in the tables behind the diagonal; a stranger in its bucket has."""
+    entries = spark.createDataFrame([(k, i, 9 - i, 1) for k in (1, 2) for i in (1, 2, 3)] + [(2, 7, 1, 1)], "key long, id long, known long, late int")
+    measured = spark.createDataFrame([(1, 2, 90, 100, 100), (1, 3, 95, 100, 100)], "a long, b long, both long, n_a long, n_b long")
+    rows = {tuple(r) for r in near_dedup.led_by_labels(entries, measured, 80).collect()}
+    assert rows == {(2, 7, 1, 1)}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, 8), (3, "x y z", 9, 9)], "doc_id long, text string, _id int, __id int")
+    got = {r["doc_id"]: (r["_id"], r["__id"]) for r in near_dedup.drop_near_duplicates(docs).collect()}
+    assert got == {1: (5, 6), 3: (9, 9)}

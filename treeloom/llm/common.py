@@ -86,3 +86,12 @@ def release(*tables: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, full_text, staged
+from .common import ascii_lower, free_name, full_text, staged
 
 
 def digest(text: str | Column = "text") -> Column:
@@ -84,7 +84,7 @@ def decide(docs: DataFrame, *, fan_in: int = 16) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, *, fan_in: int = 16) -> DataFrame:
-    """The rows of ``docs`` that ``decide`` keeps, with all their columns.
+    """The rows of ``docs`` that ``decide`` keeps, with all their columns, whatever their names.
 
     They are found by doc_id and digest, so rows of one frequent text spread
     over all tasks.  Where a kept row itself is repeated, one of its copies
@@ -92,16 +92,14 @@ def drop_duplicates(docs: DataFrame, *, fan_in: int = 16) -> DataFrame:
     """
     runs = staged(digest_runs(docs), "digest-runs")
     n_runs = (runs.agg(F.max("run")).first()[0] or 0) + 1
-    merged = merge_runs(runs, n_runs, fan_in).select(F.col("keep.doc_id").alias("_keep"), F.col("digest").alias("_digest"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_digest"))
-    mine = docs.withColumn("_own", digest())
-    repeats = (
-        runs.groupBy("doc_id", "digest").count().filter("count > 1")
-        .select(F.col("doc_id").alias("_keep"), F.col("digest").alias("_digest"))
-    )
+    own, keep, of = (free_name(docs, c) for c in ("own", "keep", "digest"))
+    merged = merge_runs(runs, n_runs, fan_in).select(F.col("keep.doc_id").alias(keep), F.col("digest").alias(of))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(keep)) & (F.col(own) == F.col(of))
+    mine = docs.withColumn(own, digest())
+    repeats = runs.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias(keep), F.col("digest").alias(of))
     if repeats.isEmpty():
-        return mine.join(merged.hint("shuffle_hash"), same, "left_semi").select(*docs.columns)
-    once = mine.join(repeats, same, "left_anti").join(merged.hint("shuffle_hash"), same, "left_semi")
+        return mine.join(merged, same, "left_semi").select(*docs.columns)
+    once = mine.join(repeats, same, "left_anti").join(merged, same, "left_semi")
     # At most one row of each repeated id goes on.
-    again = mine.join(repeats, same, "left_semi").join(merged.hint("shuffle_hash"), same, "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "_own"])).select(*docs.columns)
+    again = mine.join(repeats, same, "left_semi").join(merged, same, "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", own])).select(*docs.columns)

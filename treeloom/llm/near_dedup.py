@@ -7,7 +7,9 @@ whose half keys are their own: a key can only be shared by documents that share
 both halves.  Candidates are verified on full shingle sets.
 
 A bucket's documents are compared with its leader, the one whose half keys are
-the most common, as the original of a group of edited copies is.  Two documents
+the most common, as the original of a group of edited copies is.  The tables of the diagonal
+come first; members that they link to a leader take no part in the other tables
+where that leader leads.  Two documents
 that are both linked to the leader need no comparison.  For the others, what
 matters is how they differ from the leader: a document that is not linked to it
 can only be linked to one that shares a difference, and most of that one's
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import full_text, release, staged
+from .common import free_name, full_text, release, staged
 from .components import connected_components
 
 SIGNED = "doc_id long, n_shingles long, set_hash binary, signature binary"
@@ -126,24 +128,30 @@ def half_keys(classes: DataFrame, halves: int, width: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame, halves: int, width: int) -> DataFrame:
-    """(key, id, known) of every table entry that two classes or more share; known says how common a class's half keys are."""
+    """(key, id, known, late) of every table entry that two classes or more share.
+
+    known says how common a class's half keys are; late is 0 for the tables of the
+    diagonal, of which each half key is in one, and 1 for all others.
+    """
     keys = staged(half_keys(classes, halves, width), "half-keys")
     shared = keys.groupBy("h", "half").count().filter("count > 1")
     mine = keys.join(shared, ["h", "half"]).groupBy("id").agg(F.collect_list(F.struct("h", "half")).alias("own"), F.sum("count").alias("known"))
     first = F.filter("own", lambda x: x["h"] < halves)
     second = F.filter("own", lambda x: x["h"] >= halves)
-    pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["h"], b["h"], a["half"], b["half"]))))
-    entries = staged(mine.select("id", "known", F.explode(pairs).alias("key")), "table-entries")
+    pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.struct(
+        F.xxhash64(a["h"], b["h"], a["half"], b["half"]).alias("key"), F.when(b["h"] - a["h"] == halves, 0).otherwise(1).alias("late")))))
+    entries = staged(mine.select("id", "known", F.explode(pairs).alias("t")).select("id", "known", "t.*"), "table-entries")
     release(keys)
     # Documents that agree in much share many tables; of buckets with the same
     # members (by count, sum and xor of two hashes of them) one is enough.
     members = entries.groupBy("key").agg(
         F.count("*").alias("n"),
+        F.min("late").alias("late"),
         F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(20,0)")).alias("s"),
         F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("x"),
     )
-    crowded = members.filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
-    out = staged(entries.join(crowded, "key").select("key", "id", "known"), "buckets")
+    crowded = members.filter("n > 1").groupBy("n", "s", "x").agg(F.min(F.struct("late", "key")).alias("one")).select("one.key")
+    out = staged(entries.join(crowded, "key").select("key", "id", "known", "late"), "buckets")
     release(entries)
     return out
 
@@ -352,18 +360,48 @@ def with_components(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def led(entries: DataFrame) -> DataFrame:
+    """(key, id, known, leader) of every member of a bucket with others, but its leader."""
+    return entries.join(leaders(entries), "key").filter("id <> leader").select("key", "id", "known", "leader")
+
+
+def led_by_labels(entries: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """``led`` without what the measured pairs (a, b) have settled.
+
+    A class's label is the smallest leader that it is linked to, or itself, so
+    classes of one label are connected.  A bucket's leader is the label of its most
+    common member.  A bucket of one label has nothing to find, and in others the
+    members of the leader's label are linked to it already: only the rest is
+    returned, so a large group of copies takes no row in the tables that follow.
+    """
+    label = measured.filter(linked(percent)).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+    labelled = staged(entries.join(label, "id", "left").select("key", "id", "known", F.coalesce("label", "id").alias("label")), "labelled")
+    order = F.struct("known", F.xxhash64("id").alias("o"), "id", "label")
+    groups = labelled.groupBy("key", "label").agg(F.max(order).alias("top"))
+    lead = groups.groupBy("key").agg(F.max("top").alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("top.label").alias("leader"))
+    open_ = groups.select("key", "label").join(lead, "key").filter("label <> leader")
+    return labelled.join(open_, ["key", "label"]).filter("id <> leader").select("key", "id", "known", "leader")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, *, words: int, percent: int, halves: int, width: int, turns: int) -> DataFrame:
     """Verified links (a, b) between classes that connect every component."""
     count = 2 * halves * width
     width_of_link = 1 - percent / 100
+    ring = _INNER + width_of_link + 1e-9
     entries = buckets(classes, halves, width)
     sets = staged(shingle_sets(docs, entries.select("id").distinct(), words), "shingle-sets")
+    pairs_of = lambda m: m.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = None
-    for _ in range(turns):
-        lead = staged(leaders(entries), "leaders")
-        members = entries.join(lead, "key").filter("id <> leader")
-        pairs = members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        measured = staged(measure(pairs, sets, _INNER + width_of_link + 1e-9), "measured")
+    for turn in range(turns):
+        if turn == 0:
+            # The tables of the diagonal first; the others for what these leave open.
+            early = staged(measure(pairs_of(led(entries.filter("late = 0"))), sets, ring), "measured")
+            members = staged(led_by_labels(entries, early, percent), "members")
+            late = measure(pairs_of(members).join(early.select("a", "b"), ["a", "b"], "left_anti"), sets, ring)
+            measured = early.unionByName(staged(late, "measured"))
+        else:
+            members = staged(led(entries), "members")
+            measured = staged(measure(pairs_of(members), sets, ring), "measured")
         own = measured.filter(linked(percent)).select("a", "b")
         more, spread = difference_links(measured.filter("apart is not null"), percent)
         own = staged(own.unionByName(more), "links-found")
@@ -374,7 +412,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, *, words: int, percent: in
         # among the members outside the inner ring.
         far = measured.filter(distance() > _INNER).select(F.col("a").alias("leader"), F.col("b").alias("id"))
         rest = staged(members.join(far, ["leader", "id"], "left_semi").select("key", "id", "known"), "buckets")
-        release(entries, lead, measured)
+        release(entries, members)
         entries = rest
         sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
         largest = sizes.agg(F.max("n")).first()[0] or 0
@@ -430,6 +468,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, width
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns, whatever their names.
+
+    Repeated rows stay or go together, rows with a null doc_id or without words
+    stay, an empty table gives an empty one; texts of any length are read whole.
+    """
+    own = free_name(docs, "id")
+    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[own]), "left_semi").select(*docs.columns)
