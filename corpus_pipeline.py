@@ -1,7 +1,10 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage works on what the one before it kept.  All but the last return the
-columns of documents.
+columns of documents, and further columns that the rows have, whatever their names.
+A null text is an empty one, texts of any length are read whole, and an empty table
+gives an empty one.  Repeated rows: exact dedup keeps one.  Rows that share a doc_id,
+or have none, are judged by their own text, but mixed as one document.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from treeloom.llm.common import staged, table
+from treeloom.llm.common import free_name, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes, in training order."""
     mixed = mixing.mix(docs, whole_documents=True)
-    taken = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("positions").alias("_positions")).filter(F.size("_positions") > 0)
-    copies = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return copies.select(*docs.columns, F.explode("_positions").alias("_position")).orderBy("_position", "doc_id").select(*docs.columns)
+    own, places, place = (free_name(docs, c) for c in ("id", "positions", "position"))
+    taken = mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max("positions").alias(places)).filter(F.size(places) > 0)
+    copies = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken[own]))
+    return copies.select(*docs.columns, F.explode(places).alias(place)).orderBy(place, "doc_id").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
