@@ -229,3 +229,33 @@ def test_plans_have_no_cartesian_product(spark):
     for s in ("customer order > return", "order:has(return) ~ order", "item:not(return + item)"):
         plan = query_selector_all(nodes, s)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_containment_is_no_range_join(spark):
+    """What holds a node comes from sweeps: no join compares places."""
+    from treeloom.operators import axes, text, traversal
+    from treeloom.plans.compile import closest
+    from treeloom.sources.orders_tree import orders_tree
+
+    nodes = orders_tree(spark, "/root/testdata/sf0.001")
+    orders = nodes.filter("local_name = 'order'").select("doc_id", "node_id")
+    pairs = orders.withColumn("other_id", orders["node_id"])
+    for df in (axes.ancestors(nodes, orders), axes.common_ancestor(nodes, pairs), text.text_content(nodes, orders), text.outer_html(nodes, orders), closest(nodes, "order"), traversal.tree_walker(nodes, orders)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        assert joins and not any(c in line for line in joins for c in ("<", ">")), joins
+
+
+def test_enclosing_pairs(spark):
+    """Nested scopes, a scope that is a leaf, and a node in none."""
+    from treeloom.operators.intervals import enclosing, nearest_ancestor
+
+    tree = [(0, 9), (1, 5), (2, 4), (3, 3), (4, 4), (5, 5), (6, 8), (7, 7), (8, 8), (9, 9)]
+    nodes = spark.createDataFrame([(1, 0, i, a, b) for i, (a, b) in enumerate(tree)], "doc_id long, root_id long, node_id long, pre long, last long")
+    scopes = nodes.filter("node_id in (1, 2, 4, 6)")
+    for inclusive in (True, False):
+        want = {(i, s) for i, (a, _) in enumerate(tree) for s in (1, 2, 4, 6) if tree[s][0] <= a <= tree[s][1] and (inclusive or i != s)}
+        got = [(r["node_id"], r["s"]) for r in enclosing(nodes, scopes, {"s": scopes["node_id"]}, inclusive=inclusive).collect()]
+        assert len(got) == len(want) and set(got) == want
+        nearest = {r["node_id"]: r["n"] for r in nearest_ancestor(nodes, scopes.withColumn("v", scopes["node_id"]), "v", "n", inclusive=inclusive).collect()}
+        assert nearest == {i: max((s for k, s in want if k == i), default=None) for i in range(10)}

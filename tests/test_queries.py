@@ -6,12 +6,15 @@ import duckdb
 import pandas as pd
 import pytest
 
+from treeloom.plans import cases
 from treeloom.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "css_chain", "css_has_descendant", "css_nth_of", "element_closest", "axis_siblings", "common_ancestor", "document_position", "text_content", "outer_html", "range_text",
     "tree_walker", "remove_subtrees", "apply_edits", "edit_mutations", "event_dispatch", "focus_events", "focus_stream", "toggle_stream", "timers_due", "page_nav_links", "page_titles", "character_data", "token_lists",
+    "event_once", "event_once_stops", "event_signals", "signal_chain", "edit_structure", "edit_markup", "edit_values", "edit_refused", "edit_shadow", "parse_trees", "tokens_of_text", "tokens_of_fragment",
+    "page_titles_decoded", "element_reactions", "assigned_nodes", "slot_manual", "check_finds", "range_contents", "pseudo_indeterminate", "pseudo_target", "pseudo_valid",
 )
 
 
@@ -23,7 +26,7 @@ def rows(df):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "pages", "conversations"):
+    for t in ("region", "nation", "supplier", "customer", "orders", "lineitem", "events", "documents", "pages", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -89,3 +92,7 @@ def test_entry_imports():
 
     assert set(ORACLE_SQL) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_cases_are_registered():
+    assert len(cases.STRUCTURE) < 100 and {"edit_structure", "parse_trees"} <= set(QUERIES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ELEMENT
@@ -33,9 +33,21 @@ def descendants(nodes: DataFrame, keys: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor_id, distance), nearest first by distance."""
     own = rows_of(nodes, keys).select("doc_id", "root_id", "node_id", "pre", "depth")
-    up = nodes.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_t"), F.col("node_id").alias("ancestor_id"), F.col("pre").alias("_p"), F.col("last").alias("_l"), F.col("depth").alias("_h"))
-    met = own.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("_t")) & (F.col("_p") < F.col("pre")) & (F.col("pre") <= F.col("_l")))
-    return met.select("doc_id", "node_id", "ancestor_id", (F.col("depth") - F.col("_h")).alias("distance"))
+    met = _upwards(nodes, own.filter("depth > 0"), F.col("depth") - 1)
+    return met.select("doc_id", "node_id", F.col("_up.node_id").alias("ancestor_id"), (F.col("depth") - F.col("_up.depth")).alias("distance"))
+
+
+def _upwards(nodes: DataFrame, rows: DataFrame, deepest: Column) -> DataFrame:
+    """``rows`` (with doc_id, root_id, pre) with _up (node_id, depth, last): the nodes above their place, one for each depth up to ``deepest``.
+
+    In tree order the node above a place at some depth is the last one of that depth.
+    """
+    levels = rows.select("doc_id", "root_id", F.explode(F.sequence(F.lit(0), deepest.cast("int"))).alias("_level"), F.col("pre").alias("_at"), F.struct(*rows.columns).alias("_row"))
+    up = F.struct("node_id", "depth", "last").alias("_up")
+    marks = nodes.select("doc_id", "root_id", F.col("depth").alias("_level"), F.col("pre").alias("_at"), up)
+    order = Window.partitionBy("doc_id", "root_id", "_level").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(levels, allowMissingColumns=True)
+    return both.withColumn("_up", F.last("_up", ignorenulls=True).over(order)).filter("_row is not null").select("_row.*", "_up")
 
 
 def by_tag_name(nodes: DataFrame, name: str, scope: DataFrame | None = None) -> DataFrame:
@@ -70,9 +82,12 @@ def contains(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return a.select(*pairs.columns, F.coalesce((F.col("_b_root") == F.col("_a_root")) & F.col("_b_pre").between(F.col("_a_pre"), F.col("_a_last")), F.lit(False)).alias("contains"))
 
 
+_PLACES = (("root_id", "root"), ("pre", "pre"), ("last", "last"), ("depth", "depth"))
+
+
 def _two(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, None]:
-    one = nodes.select("doc_id", "node_id", *[F.col(c).alias(f"_a_{n}") for c, n in (("root_id", "root"), ("pre", "pre"), ("last", "last"))])
-    two = nodes.select("doc_id", F.col("node_id").alias("other_id"), *[F.col(c).alias(f"_b_{n}") for c, n in (("root_id", "root"), ("pre", "pre"), ("last", "last"))])
+    one = nodes.select("doc_id", "node_id", *[F.col(c).alias(f"_a_{n}") for c, n in _PLACES])
+    two = nodes.select("doc_id", F.col("node_id").alias("other_id"), *[F.col(c).alias(f"_b_{n}") for c, n in _PLACES])
     return pairs.join(one, ["doc_id", "node_id"], "left").join(two, ["doc_id", "other_id"], "left"), None
 
 
@@ -91,10 +106,12 @@ def compare_position(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def common_ancestor(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``ancestor_id``: the deepest node that holds both."""
     joined, _ = _two(nodes, pairs)
-    up = nodes.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_t"), F.col("node_id").alias("_id"), F.col("pre").alias("_p"), F.col("last").alias("_l"))
-    low, high = F.least("_a_pre", "_b_pre"), F.greatest("_a_pre", "_b_pre")
-    met = joined.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("_a_root") == F.col("_t")) & (F.col("_b_root") == F.col("_t")) & (F.col("_p") <= low) & (F.col("_l") >= high))
-    return met.groupBy("doc_id", "node_id", "other_id").agg(F.max_by("_id", "_p").alias("ancestor_id"))
+    # The deepest of the first node's ancestors, itself included, that still holds the second.
+    first = joined.filter(F.col("_a_root") == F.col("_b_root")).select(
+        "doc_id", "node_id", "other_id", F.col("_a_root").alias("root_id"), F.least("_a_pre", "_b_pre").alias("pre"), F.greatest("_a_pre", "_b_pre").alias("_end"),
+        F.when(F.col("_a_pre") <= F.col("_b_pre"), F.col("_a_depth")).otherwise(F.col("_b_depth")).alias("_depth"))
+    met = _upwards(nodes, first, F.col("_depth")).filter(F.col("_up.last") >= F.col("_end"))
+    return met.groupBy("doc_id", "node_id", "other_id").agg(F.max_by(F.col("_up.node_id"), F.col("_up.depth")).alias("ancestor_id"))
 
 
 def siblings(nodes: DataFrame, *, elements: bool = False) -> DataFrame:
@@ -131,22 +148,20 @@ def head_or_body(nodes: DataFrame, name: str) -> DataFrame:
     return rows_of(nodes, found.groupBy("doc_id").agg(F.min_by("node_id", "pre").alias("node_id")))
 
 
-def root_node(nodes: DataFrame, *, composed: bool = False, most: int = 32) -> DataFrame:
+def root_node(nodes: DataFrame, *, composed: bool = False) -> DataFrame:
     """(doc_id, node_id, root_id, is_connected); composed roots cross from shadow trees to their hosts.
 
-    The loop is over levels of shadow trees, at most ``most``; the edges are
-    shadow roots only.
+    The loop is over levels of shadow trees, until none is left to cross; the edges
+    are shadow roots only.
     """
     doc_roots = nodes.filter(F.col("kind") == "document").select(F.col("doc_id"), F.col("node_id").alias("root_id"))
     roots = nodes.select("doc_id", "node_id", "root_id")
     hosts = nodes.filter(F.col("kind") == "shadow_root").select("doc_id", F.col("node_id").alias("_shadow"), F.col("host_id").alias("_host"))
     host_root = hosts.join(nodes.select("doc_id", F.col("node_id").alias("_host"), F.col("root_id").alias("_up")), ["doc_id", "_host"]).select("doc_id", F.col("_shadow"), "_up")
     top = roots.withColumn("_top", F.col("root_id"))
-    levels = 0
-    while levels < most and not (todo := top.join(host_root, (top["doc_id"] == host_root["doc_id"]) & (F.col("_top") == F.col("_shadow")), "left_semi")).isEmpty():
+    while not top.join(host_root, (top["doc_id"] == host_root["doc_id"]) & (F.col("_top") == F.col("_shadow")), "left_semi").isEmpty():
         up = host_root.withColumnRenamed("doc_id", "_d")
         top = top.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("_top") == F.col("_shadow")), "left").select("doc_id", "node_id", "root_id", F.coalesce("_up", "_top").alias("_top"))
-        levels += 1
     out = top.join(doc_roots.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_doc")), (F.col("doc_id") == F.col("_d")) & (F.col("_top") == F.col("_doc")), "left")
     return out.select("doc_id", "node_id", F.col("_top").alias("root_id") if composed else F.col("root_id"), F.col("_doc").isNotNull().alias("is_connected"))
 

@@ -6,8 +6,10 @@ of dispatches is one plan: events x paths x listeners, ordered per event.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +25,18 @@ NONE, CAPTURING, AT_TARGET, BUBBLING = 0, 1, 2, 3
 PREVENT, STOP, STOP_NOW = "prevent_default", "stop_propagation", "stop_immediate_propagation"
 
 
-def composed_path(nodes: DataFrame, events: DataFrame, *, most: int = 32) -> DataFrame:
+def composed_path(nodes: DataFrame, events: DataFrame) -> DataFrame:
     """(event_id, doc_id, node_id, distance, seen_target): the path from the target outwards.
 
     Ancestors within a tree come from intervals; from a shadow root the path goes
-    on to the host if the event is composed, at most ``most`` trees deep, and there
-    the event is seen as the host's.
+    on to the host if the event is composed, and there the event is seen as the
+    host's; the loop is over levels of shadow trees and ends with the last path.
     """
     shadows = nodes.filter(F.col("kind") == "shadow_root").select("doc_id", F.col("node_id").alias("_shadow"), "host_id")
     here = events.select("event_id", "doc_id", "target_id", "composed").withColumns({"_from": F.col("target_id"), "_base": F.lit(0).cast("long")})
     parts = []
     nested = not shadows.isEmpty()
-    for _ in range(most):
+    while True:
         keys = here.select("doc_id", F.col("_from").alias("node_id")).distinct()
         up = ancestors(nodes, keys).select("doc_id", F.col("node_id").alias("_from"), "ancestor_id", "distance")
         own = here.select("event_id", "doc_id", "composed", F.col("_from").alias("node_id"), F.col("_base").alias("distance"), F.col("_from").alias("seen_target"), "_base")
@@ -53,36 +55,81 @@ def composed_path(nodes: DataFrame, events: DataFrame, *, most: int = 32) -> Dat
 def dispatch(nodes: DataFrame, events: DataFrame, listeners: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     """(event_id, fire_ord, doc_id, node_id, seq, phase, seen_target, action): listeners in the order they fire.
 
-    Capture goes from the root to the target, then bubbling outwards if the event
-    bubbles; at a target capturing listeners go first.  stop_propagation lets the
-    rest of its node's listeners fire, stop_immediate_propagation none.  A listener
-    with an aborted signal, or once and fired by an earlier event, is left out.
+    Capture goes from the root to the target, then the target's listeners fire in
+    order of registration, then bubbling goes outwards if the event bubbles.
+    stop_propagation lets the rest of its node's listeners fire,
+    stop_immediate_propagation none.  Events of a document happen in order of ts and
+    event_id.  A listener whose signal (signal_id, aborted_at as a timestamp or in
+    seconds) is aborted by the time of the event is silent, also if the event has no
+    time; one that is ``once`` fires for the first event that reaches it, stopped
+    ones not counted.
     """
-    live = listeners
-    if signals is not None:
-        aborted = signals.filter("aborted_at is not null").select("signal_id")
-        live = semi(live, aborted, [("signal_id", "signal_id")], how="left_anti")
     path = composed_path(nodes, events)
     e = events.select("event_id", F.col("type").alias("_type"), "bubbles", "cancelable", "ts")
-    met = path.join(e, "event_id").join(live, ["doc_id", "node_id"]).filter(F.col("type") == F.col("_type"))
-    at_target = F.col("node_id") == F.col("seen_target")
+    met = path.join(e, "event_id").join(listeners, ["doc_id", "node_id"]).filter(F.col("type") == F.col("_type"))
+    if signals is not None:
+        gone = signals.filter("aborted_at is not null").select("signal_id", "aborted_at")
+        if dict(gone.dtypes)["aborted_at"] not in ("timestamp", "timestamp_ntz"):
+            gone = gone.withColumn("aborted_at", F.timestamp_seconds("aborted_at"))
+        gone = gone.groupBy("signal_id").agg(F.min("aborted_at").alias("_aborted"))
+        met = met.join(gone, "signal_id", "left").filter(F.col("_aborted").isNull() | (F.coalesce("ts", "_aborted") < F.col("_aborted"))).drop("_aborted")
+    at_target = F.col("distance") == 0
     met = met.filter(F.col("capture") | at_target | F.col("bubbles"))
-    phase = F.when(at_target, AT_TARGET).when(F.col("capture"), CAPTURING).otherwise(BUBBLING)
-    # Capturing listeners come outermost first, the others innermost first.
-    step = F.when(F.col("capture"), -F.col("distance")).otherwise(F.col("distance"))
-    met = met.withColumns({"phase": phase, "_pass": F.when(F.col("capture"), 0).otherwise(1), "_step": step})
-    first = Window.partitionBy("doc_id", "node_id", "seq").orderBy("ts", "event_id", "_pass")
-    met = met.withColumn("_nth", F.row_number().over(first)).filter("not once or _nth = 1")
+    round_ = F.when(at_target, 1).when(F.col("capture"), 0).otherwise(2)
+    met = met.withColumns({
+        "phase": F.when(at_target, AT_TARGET).when(F.col("capture"), CAPTURING).otherwise(BUBBLING), "_pass": round_,
+        "_step": F.when(F.col("capture") & ~at_target, -F.col("distance")).otherwise(F.col("distance"))})
+    out = ["event_id", "doc_id", "node_id", "seq", "phase", "seen_target", "action", "passive", "_pass", "_step"]
+    stops = F.col("action").isin(STOP, STOP_NOW)
+    # Only a once listener that stops events has a say in what later events reach.
+    bound = listeners.filter(F.col("once") & stops).select("doc_id")
+    free = semi(met, bound, [("doc_id", "doc_id")], how="left_anti")
+    first = Window.partitionBy("doc_id", "node_id", "seq").orderBy("ts", "event_id")
+    fired = _unstopped(free).withColumn("_nth", F.row_number().over(first)).filter("not once or _nth = 1").select(*out)
+    sequential = semi(met, bound, [("doc_id", "doc_id")]).select(*out, "once", "ts")
+    sequential = sequential.repartition("doc_id").sortWithinPartitions("doc_id", "ts", "event_id", "_pass", "_step", "seq")
+    fired = fired.unionByName(sequential.mapInArrow(_in_sequence, sequential.schema).select(*out))
+    order = Window.partitionBy("event_id").orderBy("_pass", "_step", "seq")
+    return fired.select("event_id", F.row_number().over(order).alias("fire_ord"), "doc_id", "node_id", "seq", "phase", "seen_target", "action", "passive")
+
+
+def _unstopped(met: DataFrame) -> DataFrame:
+    """The candidates of each event that no earlier listener keeps from firing."""
     order = Window.partitionBy("event_id").orderBy("_pass", "_step", "seq")
-    met = met.withColumn("_n", F.row_number().over(order))
     whole = Window.partitionBy("event_id")
-    halt = F.min(F.when(F.col("action").isin(STOP, STOP_NOW), F.struct("_n", "_pass", "node_id", F.col("action").alias("_a")))).over(whole)
-    met = met.withColumn("_halt", halt)
-    same_node = (F.col("node_id") == F.col("_halt.node_id")) & (F.col("_pass") == F.col("_halt._pass")) & (F.col("_halt._a") == STOP)
-    # A later stop_immediate on the same node cuts what the first stop let through.
+    met = met.withColumn("_n", F.row_number().over(order))
+    # The first stop of either kind ends the event behind its node, the first immediate one at once.
+    halt = F.min(F.when(F.col("action").isin(STOP, STOP_NOW), F.struct("_n", "_pass", "_step"))).over(whole)
     now = F.min(F.when(F.col("action") == STOP_NOW, F.col("_n"))).over(whole)
-    kept = met.withColumn("_now", now).filter((F.col("_halt").isNull() | (F.col("_n") <= F.col("_halt._n")) | same_node) & (F.col("_now").isNull() | (F.col("_n") <= F.col("_now"))))
-    return kept.select("event_id", F.row_number().over(order).alias("fire_ord"), "doc_id", "node_id", "seq", "phase", "seen_target", "action", "passive")
+    met = met.withColumns({"_halt": halt, "_now": now})
+    same_node = (F.col("_pass") == F.col("_halt._pass")) & (F.col("_step") == F.col("_halt._step"))
+    return met.filter((F.col("_halt").isNull() | (F.col("_n") <= F.col("_halt._n")) | same_node) & (F.col("_now").isNull() | (F.col("_n") <= F.col("_now"))))
+
+
+def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of candidates sorted by document, event and place those that fire; a document's spent listeners are all that is kept."""
+    doc = event = stopped_at = None
+    begun, ended, spent = False, False, set()
+    for batch in batches:
+        keep = []
+        for d, e, step, listener, action, once in zip(
+            batch["doc_id"].to_pylist(), batch["event_id"].to_pylist(), zip(batch["_pass"].to_pylist(), batch["_step"].to_pylist()),
+            zip(batch["node_id"].to_pylist(), batch["seq"].to_pylist()), batch["action"].to_pylist(), batch["once"].to_pylist(),
+        ):
+            if not begun or d != doc:
+                spent = set()
+            if not begun or d != doc or e != event:
+                stopped_at, ended = None, False
+            begun, doc, event = True, d, e
+            fires = not ended and (stopped_at is None or stopped_at == step) and not (once and listener in spent)
+            keep.append(fires)
+            if fires:
+                if once:
+                    spent.add(listener)
+                ended = action == STOP_NOW
+                if action in (STOP, STOP_NOW) and stopped_at is None:
+                    stopped_at = step
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def outcomes(events: DataFrame, fired: DataFrame) -> DataFrame:
@@ -161,22 +208,26 @@ def attribute_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
-def aborted_signals(signals: DataFrame, depends: DataFrame, *, most: int = 64) -> DataFrame:
+def timeout_signals(created: DataFrame) -> DataFrame:
+    """(signal_id, aborted_at, reason) of signals that abort by themselves: ``created`` has signal_id, ts and delay_ms."""
+    due = F.timestamp_millis(F.unix_millis("ts") + F.col("delay_ms"))
+    return created.select("signal_id", due.alias("aborted_at"), F.lit("timeout").alias("reason"))
+
+
+def aborted_signals(signals: DataFrame, depends: DataFrame) -> DataFrame:
     """(signal_id, aborted_at, reason): signals, dependent ones (``any``) aborted with the first of their sources.
 
-    ``depends`` (signal_id, source_id).  The loop is over levels of dependence.
+    ``depends`` (signal_id, source_id).  The loop is over levels of dependence and
+    ends when nothing changes; the earliest abort can only get earlier.
     """
     now = signals.select("signal_id", "aborted_at", "reason")
-    for _ in range(most):
+    while True:
         up = depends.join(now.withColumnRenamed("signal_id", "source_id").filter("aborted_at is not null"), "source_id").groupBy("signal_id").agg(F.min(F.struct("aborted_at", "reason")).alias("_up"))
         own = F.when(F.col("aborted_at").isNotNull(), F.struct("aborted_at", "reason"))
         joined = now.join(up, "signal_id", "left").withColumn("_best", F.least(own, F.col("_up")))
-        changed = joined.filter(~F.col("_best").eqNullSafe(own))
-        nxt = joined.select("signal_id", F.col("_best.aborted_at").alias("aborted_at"), F.col("_best.reason").alias("reason"))
-        if changed.isEmpty():
+        if joined.filter(~F.col("_best").eqNullSafe(own)).isEmpty():
             return now
-        now = nxt
-    return now
+        now = joined.select("signal_id", F.col("_best.aborted_at").alias("aborted_at"), F.col("_best.reason").alias("reason"))
 
 
 def reactions(before: DataFrame, after: DataFrame, defined: DataFrame) -> DataFrame:

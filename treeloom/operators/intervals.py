@@ -55,17 +55,31 @@ def semi(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], more=None
     return left.join(r, test, how)
 
 
-def nearest_ancestor(nodes: DataFrame, carriers: DataFrame, value: str, out: str, *, inclusive: bool = True) -> DataFrame:
-    """``nodes`` with ``out``: ``value`` of the nearest ancestor in ``carriers``, null without one.
+def enclosing(nodes: DataFrame, scopes: DataFrame, out: dict[str, Column], *, inclusive: bool = True, nearest: bool = False) -> DataFrame:
+    """``nodes`` paired with each of ``scopes`` that holds them, or with the nearest, with ``out`` of the scope.
 
-    An as-of join in the tree: of the intervals that hold a node the latest opened
-    is the nearest.  Carriers should be the few that matter.
+    A sweep in tree order counts the scopes that are open, which is the level of a
+    scope among them.  The scope open at a level is the last that was opened there,
+    so a node takes one row per level, and nothing is compared with what does not
+    hold it.  Nodes in no scope are left out.
     """
-    c = carriers.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_t"), F.col("pre").alias("_p"), F.col("last").alias("_l"), F.col(value).alias("_v"))
-    low = F.col("_p") <= F.col("pre") if inclusive else F.col("_p") < F.col("pre")
-    found = (
-        nodes.select("doc_id", "root_id", "node_id", "pre")
-        .join(c, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("_t")) & low & (F.col("pre") <= F.col("_l")))
-        .groupBy("doc_id", "node_id").agg(F.max_by("_v", "_p").alias(out))
-    )
-    return nodes.join(found, ["doc_id", "node_id"], "left")
+    at = lambda place, side, step: [F.col(place).alias("_at"), F.lit(side).alias("_side"), F.lit(step).alias("_step")]
+    own, held = F.struct(*nodes.columns).alias("_node"), F.struct(*[c.alias(n) for n, c in out.items()]).alias("_scope")
+    opened = scopes.select(*TREE, *at("pre", 1, 1), held)
+    closed = scopes.select(*TREE, *at("last", 3, -1))
+    rows = nodes.select(*TREE, *at("pre", 2 if inclusive else 0, 0), own)
+    both = opened.unionByName(closed, allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
+    order = Window.partitionBy(*TREE).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_open", F.sum("_step").over(order)).filter("_side <> 3 and _open > 0")
+    first = F.lit(1) if not nearest else F.col("_open")
+    levels = F.sequence(F.when(F.col("_side") == 1, F.col("_open")).otherwise(first), F.col("_open"))
+    there = Window.partitionBy(*TREE, "_level").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = counted.withColumn("_level", F.explode(levels)).withColumn("_scope", F.last("_scope", ignorenulls=True).over(there))
+    return met.filter("_side <> 1").select("_node.*", *[F.col(f"_scope.{n}").alias(n) for n in out])
+
+
+def nearest_ancestor(nodes: DataFrame, carriers: DataFrame, value: str, out: str, *, inclusive: bool = True) -> DataFrame:
+    """``nodes`` with ``out``: ``value`` of the nearest ancestor in ``carriers``, null without one."""
+    keys = nodes.select("doc_id", "root_id", "node_id", "pre")
+    found = enclosing(keys, carriers, {out: F.col(value)}, inclusive=inclusive, nearest=True)
+    return nodes.join(found.select("doc_id", "node_id", out), ["doc_id", "node_id"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import RAW_TEXT, VOID, end_tag, escape_text, start_tag
 from ..schema import ELEMENT, TEXT
 from .axes import rows_of
+from .intervals import enclosing
 
 
 def _ordered(value: str, *order: str) -> Column:
@@ -15,10 +16,9 @@ def _ordered(value: str, *order: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda x: x[value]), "")
 
 
-def _inside(nodes: DataFrame, roots: DataFrame, test: Column) -> DataFrame:
-    """``nodes`` paired with each of ``roots`` that they are in; roots as _root, _pre and _last."""
-    r = roots.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_t"), F.col("node_id").alias("_root"), F.col("pre").alias("_pre"), F.col("last").alias("_last"))
-    return nodes.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("_t")) & test)
+def _inside(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` paired with each of ``roots`` that they are in, themselves included; roots as _root and _depth."""
+    return enclosing(nodes, roots, {"_root": F.col("node_id"), "_depth": F.col("depth")})
 
 
 def text_content(nodes: DataFrame, keys: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def text_content(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     own = rows_of(nodes, keys)
     holders = own.filter(F.col("kind").isin("element", "document_fragment", "shadow_root"))
     texts = nodes.filter(F.col("node_type") == TEXT).select("doc_id", "root_id", "pre", "value")
-    joined = _inside(texts, holders, (F.col("pre") > F.col("_pre")) & (F.col("pre") <= F.col("_last")))
+    joined = _inside(texts, holders)
     found = joined.groupBy("doc_id", F.col("_root").alias("node_id")).agg(_ordered("value", "pre").alias("text"))
     full = holders.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
     return full.unionByName(own.filter(~F.col("kind").isin("element", "document_fragment", "shadow_root")).select("doc_id", "node_id", F.when(F.col("kind").isin("text", "comment"), F.col("value")).alias("text")))
@@ -57,7 +57,7 @@ def outer_html(nodes: DataFrame, keys: DataFrame, *, inner: bool = False) -> Dat
     """
     own = rows_of(nodes, keys)
     pieces = _markup(nodes, nodes.filter(F.col("node_type") == ELEMENT))
-    met = _inside(pieces, own, (F.col("pre") >= F.col("_pre")) & (F.col("pre") <= F.col("_last")))
+    met = _inside(pieces, own)
     if inner:
         met = met.filter("node_id <> _root")
     found = met.groupBy("doc_id", F.col("_root").alias("node_id")).agg(_ordered("piece", "at", "side", "order").alias("html"))
@@ -105,9 +105,7 @@ def subtree_digest(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     attributes = F.to_json(F.array_sort(F.transform("attr_list", lambda a: F.struct(a["url"], a["local"], a["value"]))))
     line = F.concat_ws("\x1f", F.col("kind"), F.coalesce("local_name", F.lit("\x00")), F.coalesce("namespace", F.lit("\x00")), F.coalesce(attributes, F.lit("\x00")), F.coalesce("value", F.lit("\x00")), F.coalesce("public_id", F.lit("")), F.coalesce("system_id", F.lit("")))
     parts = nodes.select("doc_id", "root_id", "pre", "depth", line.alias("line"))
-    r = own.withColumn("_depth", F.col("depth"))
-    r = r.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_t"), F.col("node_id").alias("_root"), F.col("pre").alias("_pre"), F.col("last").alias("_last"), "_depth")
-    met = parts.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("_t")) & (F.col("pre") >= F.col("_pre")) & (F.col("pre") <= F.col("_last")))
+    met = _inside(parts, own)
     met = met.withColumn("piece", F.concat((F.col("depth") - F.col("_depth")).cast("string"), F.lit("\x1e"), "line", F.lit("\x1d")))
     return met.groupBy("doc_id", F.col("_root").alias("node_id")).agg(F.sha2(_ordered("piece", "pre"), 256).alias("digest"))
 

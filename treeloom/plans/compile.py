@@ -3,7 +3,8 @@
 A compound becomes one filter, with a semi or anti join for each part that needs
 other nodes.  Combinators are semi joins from left to right, so a node never
 appears twice and no list of intermediate matches is built.  Everything stays a
-lazy DataFrame; compiling runs nothing.
+lazy DataFrame; compiling runs nothing, but for ``crossing``, which looks whether a
+further shadow tree is reached.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.intervals import containing, false_if_null, nearest_ancestor, semi, within
+from ..operators.intervals import containing, enclosing, false_if_null, nearest_ancestor, semi, within
 from ..schema import ELEMENT, HTML, KEYS, TEXT
 from . import css
 
@@ -101,9 +102,6 @@ class Compiler:
     shadow root's children is the host, as for scopes inside shadow trees.
     """
 
-    #: Shadow trees in one another that a descendant combinator crosses.
-    NESTED = 4
-
     def __init__(self, nodes: DataFrame, *, scope: DataFrame | None = None, state: DataFrame | None = None, defined: DataFrame | None = None, crossing: bool = False):
         self.nodes, self.scope, self.state, self.defined, self.crossing = nodes, scope, state, defined, crossing
         self.elements = nodes.filter(F.col("node_type") == ELEMENT)
@@ -141,11 +139,13 @@ class Compiler:
             if not self.crossing:
                 return within(right, keys)
             parts, over = [within(right, keys).select("doc_id", "node_id")], keys
-            for _ in range(self.NESTED):
+            # Shadow trees in one another, until no further one is reached.
+            while True:
                 covered = within(self.nodes.select(*KEYS, "kind", "host_id"), over, inclusive=True)
-                over = self.shadows_of(covered)
-                parts.append(within(right, over.select(*KEYS)).select("doc_id", "node_id"))
-                over = over.select(*KEYS)
+                over = self.shadows_of(covered).select(*KEYS)
+                if over.isEmpty():
+                    break
+                parts.append(within(right, over).select("doc_id", "node_id"))
             return semi(right, reduce(DataFrame.unionByName, parts), same)
         if combinator == ">":
             own = semi(right, keys, [("doc_id", "doc_id"), ("parent_id", "node_id")])
@@ -442,9 +442,7 @@ class Compiler:
 
 def nearest_first(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     """(doc_id, form, node_id): the first of ``nodes`` within each of ``scopes``."""
-    s = scopes.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_t"), F.col("pre").alias("_p"), F.col("last").alias("_l"), F.col("node_id").alias("form"))
-    met = nodes.select("doc_id", "root_id", "node_id", "pre").join(
-        s, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("_t")) & (F.col("pre") > F.col("_p")) & (F.col("pre") <= F.col("_l")))
+    met = enclosing(nodes.select("doc_id", "root_id", "node_id", "pre"), scopes, {"form": F.col("node_id")}, inclusive=False)
     return met.groupBy("doc_id", "form").agg(F.min_by("node_id", "pre").alias("node_id"))
 
 
