@@ -263,6 +263,43 @@ class Document:
                         self.detach(more)
                     i += 1
 
+    def split(self, n: Node, at: int) -> Node:
+        """Cut a text; the new one with what is behind ``at`` follows it."""
+        if n.kind != "text" or at > len(n.value):
+            raise EditError("index size")
+        rest = self.create("text", value=n.value[at:])
+        if n.parent is not None:
+            k = n.parent.children.index(n) + 1
+            self.insert(n.parent, rest, n.parent.children[k] if k < len(n.parent.children) else None)
+        self.set_data(n, n.value[:at])
+        return rest
+
+    def surround(self, start: Node, a: int, end: Node, b: int, wrapper: Node) -> None:
+        """Put what lies between two boundary points into an element, which loses its own children."""
+        holder = start.parent if start.kind == "text" else start
+        if holder is None or holder is not (end.parent if end.kind == "text" else end):
+            raise EditError("invalid state", "an element is cut")
+        if wrapper.kind != "element":
+            raise EditError("hierarchy request")
+        self.check(holder, wrapper, None)
+        for n, at in ((start, a), (end, b)):
+            if at > (len(n.value) if n.kind == "text" else len(n.children)):
+                raise EditError("index size")
+        if end.kind == "text":
+            self.split(end, b)
+        if start.kind == "text":
+            rest = self.split(start, a)
+            end = rest if end is start else end
+        first = holder.children.index(start) + 1 if start.kind == "text" else a
+        behind = holder.children.index(end) + 1 if end.kind == "text" else b
+        if start.kind == "text" and end.kind != "text":
+            behind += 1  # the cut of the start put one more child before it
+        inside = holder.children[first:behind]
+        self.replace_all(wrapper, [])
+        self.insert(holder, wrapper, holder.children[first] if first < len(holder.children) else None)
+        for n in inside:
+            self.insert(wrapper, n)
+
     # -- one edit
 
     def apply(self, e: dict) -> None:
@@ -355,14 +392,10 @@ class Document:
         elif op == "normalize":
             self.normalize(target)
         elif op == "split_text":
-            k = int(value)
-            if target.kind != "text" or k > len(target.value):
-                raise EditError("index size")
-            rest = self.create("text", value=target.value[k:])
-            if target.parent is not None:
-                at = target.parent.children.index(target) + 1
-                self.insert(target.parent, rest, target.parent.children[at] if at < len(target.parent.children) else None)
-            self.set_data(target, target.value[:k])
+            self.split(target, int(value))
+        elif op == "surround_contents":
+            a, b = map(int, name.split(","))
+            self.surround(target, a, before, b, parent)
         elif op == "replace_data":
             offset, count = map(int, name.split(","))
             if target.kind not in ("text", "comment") or offset > len(target.value):

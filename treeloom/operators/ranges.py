@@ -179,3 +179,50 @@ def adjust(ranges: DataFrame, mutations: DataFrame, nodes: DataFrame) -> DataFra
         fewer = out.join(before, ["doc_id", f"{side}_id"]).filter(F.col("_i") < F.col(f"{side}_off")).groupBy("range_id").agg(F.count("*").alias("n"))
         out = out.join(fewer, "range_id", "left").withColumn(f"{side}_off", (F.col(f"{side}_off") - F.coalesce("n", F.lit(0))).cast(dict(ranges.dtypes)[f"{side}_off"])).select(*ranges.columns)
     return out
+
+
+def _moved(ranges: DataFrame, side: str, changes: DataFrame, node: str, new: dict) -> DataFrame:
+    """``ranges`` with one boundary changed where it lies in ``node`` of ``changes``; their other columns begin with _."""
+    types = dict(ranges.dtypes)
+    met = ranges.join(changes.withColumnRenamed(node, f"{side}_id"), ["doc_id", f"{side}_id"], "left")
+    at = lambda c: new[c](F.col(f"{side}_off")).cast(types[f"{side}_{c}"])
+    return met.withColumns({f"{side}_{c}": F.coalesce(at(c), f"{side}_{c}") for c in new}).select(*ranges.columns)
+
+
+def adjust_inserted(ranges: DataFrame, inserted: DataFrame) -> DataFrame:
+    """``ranges`` after insertions (doc_id, parent_id, at, count) of nodes before the child number ``at``: offsets behind them grow.
+
+    Several insertions into one parent count from its children before the batch.
+    """
+    own = inserted.groupBy("doc_id", "parent_id").agg(F.collect_list(F.struct("at", "count")).alias("_in"))
+    grown = lambda off: off + F.aggregate("_in", F.lit(0).cast("long"), lambda n, x: n + F.when(x["at"] < off, x["count"]).otherwise(0))
+    for side in ("start", "end"):
+        ranges = _moved(ranges, side, own, "parent_id", {"off": grown})
+    return ranges
+
+
+def adjust_replaced(ranges: DataFrame, replaced: DataFrame) -> DataFrame:
+    """``ranges`` after a replacement (doc_id, node_id, at, count, length) in each of some texts: ``count`` code points at ``at`` by ``length``."""
+    own = replaced.select("doc_id", "node_id", F.col("at").alias("_at"), F.col("count").alias("_n"), F.col("length").alias("_m"))
+    at, end = F.col("_at"), F.col("_at") + F.col("_n")
+    for side in ("start", "end"):
+        ranges = _moved(ranges, side, own, "node_id", {"off": lambda off: F.when(off <= at, off).when(off <= end, at).otherwise(off + F.col("_m") - F.col("_n"))})
+    return ranges
+
+
+def adjust_split(ranges: DataFrame, splits: DataFrame) -> DataFrame:
+    """``ranges`` after splits (doc_id, node_id, at, new_id, parent_id, sib_idx): boundaries behind the cut go to the new text, those of the parent behind the old text move on."""
+    own = splits.select("doc_id", "node_id", F.col("at").alias("_at"), F.col("new_id").alias("_new"))
+    for side in ("start", "end"):
+        behind = F.col(f"{side}_off") > F.col("_at")
+        # Both columns come from the boundary as it was.
+        ranges = _moved(ranges, side, own, "node_id", {"id": lambda off, b=behind: F.when(b, F.col("_new")), "off": lambda off, b=behind: F.when(b, off - F.col("_at"))})
+    return adjust_inserted(ranges, splits.select("doc_id", "parent_id", F.col("sib_idx").alias("at"), F.lit(1).alias("count")))
+
+
+def surround_edits(ranges: DataFrame, node: str = "new_id") -> DataFrame:
+    """Edits that put the contents of each range into ``ranges.new_id``; ranges that cut an element are refused when applied."""
+    null = F.lit(None).cast("string")
+    return ranges.select(
+        "doc_id", F.lit(0).cast("long").alias("seq"), F.lit("surround_contents").alias("op"), F.col("start_id").alias("target_id"), F.col(node).alias("parent_id"), F.col("end_id").alias("reference_id"),
+        F.concat_ws(",", F.col("start_off").cast("string"), F.col("end_off").cast("string")).alias("name"), null.alias("value"))

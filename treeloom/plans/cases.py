@@ -349,6 +349,31 @@ def _range_contents(spark, sf_dir):
     return text.inner_html(left, _keys(axes.head_or_body(left, "body"))).select("doc_id", "html")
 
 
+_SURROUNDED = "SELECT s_suppkey::BIGINT * 100 AS doc_id, '<p id=\"a\">' || substr(s_name, 1, 1) || '<u>' || substr(s_name, 2, 2) || '</u>' || substr(s_name, 4) || '<b>y</b></p><p id=\"c\">z</p>' AS html FROM supplier"
+
+
+@query("range_surround", _SURROUNDED + " UNION ALL " + _expected("html", [(1, _quote(f'<p id="a"><u>{NAME}<b>y</b></u></p>{_C}')), (2, _quote(_A + _C))]))
+def _range_surround(spark, sf_dir):
+    """A part of a text, and all of an element, in a new element; a range that cuts an element is refused."""
+    docs = _documents(spark, sf_dir, [BASE] * 3)
+    of = lambda *by: F.element_at(F.array(*map(F.lit, by)), (F.col("doc_id") % 100 + 1).cast("int"))
+    r = docs.select("doc_id", of(5, 4, 5).cast("long").alias("start_id"), of(1, 0, 1).alias("start_off"), of(5, 4, 9).cast("long").alias("end_id"), of(3, 2, 1).alias("end_off"), F.lit(10).cast("long").alias("new_id"))
+    log = _log(docs, [([_op("create_element", name="u")],)] * 3).withColumn("seq", F.lit(-1).cast("long")).unionByName(ranges.surround_edits(r))
+    return _bodies(edits.apply_edits(html.parse_pages(docs, "doc_id", "html"), log).nodes).select("doc_id", "html")
+
+
+@query("range_adjust", _expected("start_id, start_off, end_id, end_off", [(0, "5::BIGINT", 6, "4::BIGINT", 3), (1, "5::BIGINT", 9, "4::BIGINT", 2), (2, "10::BIGINT", 3, "4::BIGINT", 3)]))
+def _range_adjust(spark, sf_dir):
+    """A range after an insertion, a replacement of data and a split."""
+    n = lambda v: F.lit(v).cast("long")
+    r = _documents(spark, sf_dir, [BASE] * 3).select(F.col("doc_id").alias("range_id"), "doc_id", n(5).alias("start_id"), F.lit(6).alias("start_off"), n(4).alias("end_id"), F.lit(2).alias("end_off"))
+    case = lambda i: r.filter(F.col("doc_id") % 100 == i)
+    one = ranges.adjust_inserted(case(0), case(0).select("doc_id", n(4).alias("parent_id"), F.lit(0).alias("at"), F.lit(1).alias("count")))
+    two = ranges.adjust_replaced(case(1), case(1).select("doc_id", n(5).alias("node_id"), F.lit(0).alias("at"), F.lit(2).alias("count"), F.lit(5).alias("length")))
+    three = ranges.adjust_split(case(2), case(2).select("doc_id", n(5).alias("node_id"), F.lit(3).alias("at"), n(10).alias("new_id"), n(4).alias("parent_id"), F.lit(0).alias("sib_idx")))
+    return one.unionByName(two).unionByName(three).drop("range_id")
+
+
 @query("doctypes", _expected("name, public_id, system_id", [(0, "'html'", "'p'", "'s'"), (1, "'html'", "NULL", "NULL")]))
 def _doctypes(spark, sf_dir):
     docs = _documents(spark, sf_dir, ['<!DOCTYPE html PUBLIC "p" "s">', "<!doctype HTML>"])
