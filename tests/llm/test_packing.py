@@ -71,3 +71,15 @@ def test_pack(docs, none):
             at += p["length"]
         assert at <= 1024
     assert packing.pack(none).count() == 0
+
+
+def test_very_long_white_space():
+    """A run of blanks on which the fast engine's pattern gives up has the library's ids."""
+    import numpy as np
+
+    from treeloom.llm.tokenization import _load, byte_encoder, tokenizer_path
+
+    encode = byte_encoder("byte_bpe_50k.json")
+    library = _load(tokenizer_path("byte_bpe_50k.json"))
+    for text in ("a" + " " * 1_200_000 + "b", "\n" * 1_200_000):
+        assert np.array_equal(encode(text), np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32))

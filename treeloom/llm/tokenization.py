@@ -68,7 +68,14 @@ def byte_encoder(name_or_path: str) -> Callable[[str], np.ndarray]:
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     ranks = {bytes(chars[c] for c in k): v for k, v in vocabulary.items()}
     engine = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: engine.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return engine.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # its pattern gives up on white space of a million characters or more
+            return np.array(_load(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    return encode
 
 
 class UnitEncoder:
