@@ -61,3 +61,18 @@ def test_few_labels(spark, docs):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels).trees is None
     assert toxicity.train(docs, labels.filter("false")).trees is None
+
+
+def test_capitals_count_alike_at_every_length():
+    from treeloom.llm.toxicity import FEATURES, Featurizer
+
+    rate = [f for f in Featurizer({}).matrix(["\U0001d400" * n for n in (100, 500)])[:, 8]]
+    assert rate == [1.0, 1.0] and len(FEATURES) > 8
+
+
+def test_repeated_ids_do_not_multiply_training_rows(spark):
+    from treeloom.llm.toxicity import training_rows
+
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    assert training_rows(docs, labels, "toxic", 100).count() <= 5

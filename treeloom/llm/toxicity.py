@@ -87,7 +87,7 @@ class Featurizer:
         size = max(1, len(text))
         letters = sum(map(len, words))
         spaces = text.count(" ") + text.count("\n")
-        caps = sum(map(str.isupper, text)) if size < 400 or low != text else 0
+        caps = 0 if low == text and text.isascii() else sum(map(str.isupper, text))
         runs = len(_RUNS.findall(text)) if any(c in text for c in "%$#&*@!") else 0
         leet = 0
         if any(c in text for c in "0@$*1!3"):
@@ -123,7 +123,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
     # The limit bounds what is broadcast.
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")
-    return staged(docs.select("doc_id", full_text().alias("text")).join(F.broadcast(chosen), "doc_id").select(fold, "toxic", "text"), "training-rows")
+    # Of rows that share a doc_id one counts, so that there are at most ``sample``.
+    texts = docs.select("doc_id", full_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one_each = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return staged(one_each.select(fold, "toxic", "text"), "training-rows")
 
 
 FOLDS = 5
@@ -209,7 +212,11 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` with a score below ``threshold``, with all their columns, whatever their names.
+
+    A null text is an empty one, a text of any length is read whole; repeated rows
+    stay or go together, and an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Featurizer(model.odds)
