@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Ranges at most: the driver holds a bound of each.  Beyond, ranges hold more rows,
-#: so what works on a range must read it as a stream.
+#: Ranges at most, unless the cluster has more shuffle partitions: the driver holds a
+#: bound of each.  Beyond, ranges hold more rows, so what works on a range must read it
+#: as a stream.
 MOST = 8192
 
 
@@ -19,7 +20,8 @@ def in_ranges(docs: DataFrame, rows_per_range: int) -> tuple[DataFrame, list[tup
     Ranges ascend with doc_id; a null one is in the first.  The driver gets a
     bound and a head for each range, never ids of all documents.
     """
-    n = min(MOST, -(-docs.count() // rows_per_range))
+    most = max(MOST, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(most, -(-docs.count() // rows_per_range))
     bounds: list[int] = []
     if n > 1:
         shares = [i / n for i in range(1, n)]
