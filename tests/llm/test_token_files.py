@@ -60,3 +60,26 @@ def test_file():
     assert [f.doc_id(i) for i in range(3)] == [None, 3, 9] and [f[i].tolist() for i in range(3)] == [[1], [], [2, 3]]
     with pytest.raises(ValueError):
         token_files.TokenFile(token_files.pack_file([1], [b"\1\0"], 2)[:-1])
+
+
+def test_spans_of_boundaries():
+    import numpy as np
+
+    from treeloom.llm.elias_fano import EliasFano
+
+    rng = np.random.default_rng(2)
+    for n, top in ((1, 0), (2, 5), (700, 3), (3000, 10_000_000), (5000, 0)):
+        values = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
+        ef = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
+        for i, j in ((0, n), (0, 1), (n - 1, n), (n // 3, n // 3 + max(1, n // 2))):
+            assert ef.span(i, j).tolist() == values[i:j].tolist()
+
+
+def test_files_end_at_their_bytes(spark, tmp_path):
+    from treeloom.llm import token_files
+
+    docs = spark.createDataFrame([(i, "word " * 50) for i in range(40)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/files"
+    manifest = token_files.write(docs, folder, bytes_per_file=500)
+    rows = token_files.read(folder, manifest).orderBy("doc_id").collect()
+    assert manifest.count() > 5 and [r["start"] for r in rows] == [51 * i for i in range(40)] and len(rows) == 40

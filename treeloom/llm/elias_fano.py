@@ -59,6 +59,21 @@ class EliasFano:
         at = block * _BLOCK + int(np.flatnonzero(bits)[i - int(self.before[block])])
         return ((at - i) << self.low_bits) | self._lower(i)
 
+    def span(self, i: int, j: int) -> np.ndarray:
+        """The values from i to j - 1: one select, then the ones that follow."""
+        if not 0 <= i < j <= self.n:
+            raise IndexError((i, j))
+        first, last = (int(np.searchsorted(self.before, k, side="right")) - 1 for k in (i, j - 1))
+        bits = np.unpackbits(self.high[first * _BLOCK // 8 : (last + 1) * _BLOCK // 8], bitorder="little")
+        skipped = i - int(self.before[first])
+        at = first * _BLOCK + np.flatnonzero(bits)[skipped : skipped + j - i]
+        value = (at - np.arange(i, j)) << self.low_bits
+        if self.low_bits:
+            a = i * self.low_bits
+            low = np.unpackbits(self.low[a // 8 : (j * self.low_bits + 7) // 8], bitorder="little")[a % 8 : a % 8 + (j - i) * self.low_bits]
+            value |= (low.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits)[None, :]).sum(axis=1)
+        return value
+
     def decode(self) -> np.ndarray:
         """All values."""
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]

@@ -73,11 +73,18 @@ def _put(folder: str, name: str, data: bytes) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-def write(docs: DataFrame, folder: str, *, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, docs_per_file: int = 2048) -> DataFrame:
+def _get(folder: str, name: str) -> bytes:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{path}/{name}") as f:
+        return f.read()
+
+
+def write(docs: DataFrame, folder: str, *, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, docs_per_file: int = 2048, bytes_per_file: int = 64 << 20) -> DataFrame:
     """Encode ``docs`` (doc_id, text) to token files in ``folder``; returns the manifest.
 
     The manifest has a row per file: range and part (files ascend by them), n_docs,
-    n_tokens, file.  A file has at most ``docs_per_file`` documents.  Every document ends with ``end_id``.  A null text is empty, a null
+    n_tokens, file.  A file has at most ``docs_per_file`` documents and ends
+    with the one that reaches ``bytes_per_file``.  Every document ends with ``end_id``.  A null text is empty, a null
     doc_id comes first, repeated ids are in order of their texts.  A task that is
     run again writes the same file again.
     """
@@ -88,7 +95,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = "word_bpe_49k.json",
         width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4
         encoder = unit_encoder(tokenizer, f"<u{width}")
         end = int(end_id).to_bytes(width, "little")
-        now, number, keys, ids = None, 0, [], []
+        now, number, keys, ids, held = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             name = f"{now:06d}-{number:06d}.tok"
@@ -100,12 +107,13 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = "word_bpe_49k.json",
                 part = batch.slice(at, 64)
                 encoded = encoder.encode_batch(part["text"].to_pylist())
                 for r, d, x in zip(part["range"].to_pylist(), part["doc_id"].to_pylist(), encoded):
-                    if r != now or len(keys) >= docs_per_file:
+                    if r != now or len(keys) >= docs_per_file or held >= bytes_per_file:
                         if keys:
                             yield close()
-                        now, number, keys, ids = r, number + 1 if r == now else 0, [], []
+                        now, number, keys, ids, held = r, number + 1 if r == now else 0, [], [], 0
                     keys.append(d)
                     ids.append(x + end)
+                    held += len(ids[-1])
         if keys:
             yield close()
 
@@ -121,28 +129,30 @@ def read(folder: str, manifest: DataFrame, *, with_ids: bool = True) -> DataFram
     is of them.
     """
     spark = manifest.sparkSession
-    # A row per file, not per document.
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")).alias("base"))
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-    files = spark.read.format("binaryFile").load(f"{folder}/*.tok").select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", "content")
+    none = F.lit(0).cast("long")
+    # One row per range goes into one task, and within a range one per file.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = manifest.groupBy("range").agg(F.sum("n_tokens").alias("n")).select("range", F.coalesce(F.sum("n").over(before), none).alias("first"))
+    within = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.join(ranges, "range").select("file", (F.col("first") + F.coalesce(F.sum("n_tokens").over(within), none)).alias("base"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, content in zip(batch["base"].to_pylist(), batch["content"]):
-                f = TokenFile(content.as_py())
-                bounds = f.bounds.decode().astype(np.int64)
+            for base, name in zip(batch["base"].to_pylist(), batch["file"].to_pylist()):
+                f = TokenFile(_get(folder, name))
                 for at in range(0, len(f), 512):
                     own = range(at, min(len(f), at + 512))
-                    ids = [f.ids[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() for i in own]
+                    bounds = f.bounds.span(at, own.stop + 1)
+                    ids = [f.ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([f.doc_id(i) for i in own], pa.int64()), "start": pa.array(base + bounds[own.start : own.stop]),
+                        "doc_id": pa.array([f.doc_id(i) for i in own], pa.int64()), "start": pa.array(base + bounds[:-1]),
                         "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                         "ids": pa.array(ids if with_ids else [None] * len(ids), pa.binary()),
                     })
 
-    return files.join(F.broadcast(bases), "file").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # Every task opens its own files; no table of them is sent to all.
+    return files.repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(docs: DataFrame, *, with_ids: bool = False, **how) -> DataFrame:
