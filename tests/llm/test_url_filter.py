@@ -38,3 +38,13 @@ def test_empty(spark):
     captures = spark.createDataFrame([(1, "http://a.b", day(1))], "key long, url string, fetched_at date")
     assert url_filter.filter_captures(captures, log).first()["blocked"] is False
     assert url_filter.filter_captures(captures.filter("false"), log).count() == 0
+
+
+def test_addresses(spark):
+    from pyspark.sql import functions as F
+
+    from treeloom.llm.url_filter import host_of, patterns_of
+
+    rows = spark.createDataFrame([("http://[2001:db8::1]:80/x",), ("http://10.0.0.1/y",), ("http://u@a.b.c:1/",)], "url string")
+    got = [[p["pattern"] for p in r["p"]] for r in rows.select(patterns_of(host_of("url")).alias("p"), F.monotonically_increasing_id().alias("i")).collect()]
+    assert [set(g) for g in got] == [{"[2001:db8::1]"}, {"10.0.0.1"}, {"a.b.c", "b.c"}]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def host_of(url: str | Column) -> Column:
     """The host of a URL in lower case, without user and port; null if it has none."""
     url = F.col(url) if isinstance(url, str) else url
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
     return F.when(host != "", F.regexp_replace(host, r"\.+$", ""))
 
 
@@ -33,8 +33,9 @@ def intervals(log: DataFrame) -> DataFrame:
 
 
 def patterns_of(host: Column) -> Column:
-    """The host and every domain above it with at least two labels, as (depth, pattern)."""
-    parts = F.split(host, r"\.")
+    """The host and every domain above it with at least two labels, as (depth, pattern); an address has none above it."""
+    address = host.startswith("[") | host.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    parts = F.when(address, F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(parts)
     return F.when(host.isNotNull(), F.transform(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
