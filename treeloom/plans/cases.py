@@ -281,7 +281,7 @@ def _signals(spark, sf_dir):
 
 @query("signal_chain", "SELECT user_id AS signal_id, 2 * user_id AS aborted_at FROM (SELECT DISTINCT user_id FROM events)")
 def _signal_chain(spark, sf_dir):
-    """Signals 100 deep: each depends on the one before, and the first of each chain is aborted."""
+    """Chains of four signals: each depends on the one before, and the first is aborted."""
     s = _read(spark, sf_dir, "events").select(F.col("user_id").alias("root")).distinct()
     link = lambda i: F.col("root") * 4 + i
     signals = s.select(F.explode(F.array(*[F.struct(link(i).alias("signal_id"), F.when(F.lit(i) == 0, F.col("root") * 2).alias("aborted_at")) for i in range(4)])).alias("x")).select("x.*", F.lit("r").alias("reason"))
