@@ -2,10 +2,10 @@
 
 First-fit decreasing, run independently in randomised groups of documents.  A
 tournament tree over the free room of a group's bins finds the leftmost bin that
-takes a piece in O(log bins).  Whole sequences cut from long documents never
-leave the task that made them; only the remainders are shuffled, and a group
-holds a bounded number of them, so neither a long document nor a frequent source
-makes a large task.
+takes a piece in O(log bins).  All pieces go through one shuffle by group,
+whole sequences cut from long documents too.  A group is a hash of doc_id, so a
+frequent source is spread over all groups, but one huge document, or one doc_id in
+very many rows, is one group.
 """
 
 from __future__ import annotations
