@@ -192,3 +192,28 @@ def test_empty_tables(spark, nodes):
     assert query_selector_all(none, "a b > c:has(d), e ~ f").count() == 0
     assert check_nodes(none).count() == 0
     assert edits.remove_subtrees(none, none.select("doc_id", "node_id")).count() == 0
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_order_trees_are_one_stream(spark, tmp_path):
+    from treeloom.sources.orders_tree import orders_tree
+
+    spark.createDataFrame([(0, "X")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, "a", 0, "M"), (2, "b", 5, None), (None, "c", 0, "M")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(7, 1, "F", "1"), (5, 1, "O", None), (9, None, "F", "1"), (8, 3, "F", "1"), (None, 1, "P", "2")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    lines = [(7, 2, 21, "R"), (7, 1, 22, None), (7, 3, 23, "N"), (8, 1, 24, "R"), (9, 1, 25, "R"), (None, 1, 26, "R"), (6, 1, 27, "R")]
+    spark.createDataFrame([(k, i, p, 1, 2.0, 1.0, 0.0, 0.0, f, "O", None) for k, i, p, f in lines], line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    tree = orders_tree(spark, str(tmp_path))
+    assert _exchanges(tree) <= 3
+    got = {(r["doc_id"], r["pre"]): r for r in tree.filter("doc_id is not null").collect()}
+    assert [(r["local_name"] or r["value"], r["last"], r["parent_id"]) for k, r in sorted(got.items()) if k[0] == 1] == [
+        (None, 10, None), ("customer", 10, 0), ("order", 2, 1), ("order", 3, 1), ("order", 10, 1), ("item", 6, 4), ("22", 6, 5), ("return", 8, 4), ("21", 8, 7), ("item", 10, 4), ("23", 10, 9)]
+    assert [got[1, p]["type_idx"] for p in (5, 7, 9)] == [1, 1, 2] and [got[1, p]["type_cnt"] for p in (5, 7, 9)] == [2, 1, 2]
+    assert sorted(p for d, p in got if d == 2) == [0, 1] and sorted(p for d, p in got if d == 3) == [2, 3, 4]
+    bare = {r["pre"]: r["last"] for r in tree.filter("doc_id is null").collect()}
+    assert bare == {0: 1, 1: 1, 2: 4, 3: 4, 4: 4}

@@ -3,8 +3,10 @@
     document > customer > order > item or return > text
 
 A line is a ``return`` if its return flag is R, its text is its part key.  The
-tree is numbered by windows within a customer or an order, so the corpus scales
-with the number of customers and no step sees more than one of them.
+tree is numbered in two sorted streams, of the lines within an order and of the
+orders and lines within a customer, so the corpus scales with the number of
+customers.  Order keys are unique.  Customers, orders and lines go through one plan,
+without a branch for each: what the driver holds grows with the plan.
 """
 
 from __future__ import annotations
@@ -25,69 +27,73 @@ def _attributes(pairs: list[tuple[str, Column]]) -> dict[str, Column]:
     }
 
 
-def _shape(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.select(*[(columns[f.name] if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NODES])
+def _nodes(df: DataFrame, kinds: list[dict[str, Column]]) -> DataFrame:
+    """Nodes of the kind that ``_part`` numbers, so that rows are made once for all kinds."""
 
+    def value(name: str, of_type) -> Column:
+        out = F.lit(None).cast(of_type)
+        for i, kind in enumerate(kinds):
+            if name in kind:
+                out = F.when(F.col("_part") == i, kind[name].cast(of_type)).otherwise(out)
+        return out
 
-def _pairs(df: DataFrame, both: dict[str, Column], first: dict[str, Column], second: dict[str, Column]) -> DataFrame:
-    """Two nodes for each row, so that the rows are made once for both."""
-    names = dict.fromkeys([*first, *second])
-    null = F.lit(None)
-    either = {c: F.when(F.col("_part") == 0, first.get(c, null)).otherwise(second.get(c, null)) for c in names}
-    return _shape(df.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1)))), **both, **either)
+    return df.select(*[("doc_id" if f.name == "doc_id" else value(f.name, f.dataType).alias(f.name)) for f in NODES])
 
 
 def orders_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node table of all customers."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    lines = read("lineitem")
     nation = read("nation").select("n_nationkey", "n_name")
     # 25 nations: a table of fixed size.
     customers = read("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    placed = read("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority").join(
+        read("lineitem").select("l_orderkey", *LINE_ORDER), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     by_order = Window.partitionBy("o_orderkey").orderBy(*LINE_ORDER)
-    counts = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    orders = read("orders").join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    size = 1 + 2 * F.col("n")
-    orders = orders.select(
-        "*", F.row_number().over(by_customer).alias("k"), F.count("*").over(Window.partitionBy("o_custkey")).alias("of"),
-        (F.lit(2) + F.coalesce(F.sum(size).over(by_customer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("pre"))
-    kinds = Window.partitionBy("o_orderkey", "name")
-    placed = lines.join(orders.select("o_orderkey", "o_custkey", F.col("pre").alias("o_pre"), F.col("n").alias("o_n")), F.col("l_orderkey") == F.col("o_orderkey"))
-    placed = placed.withColumn("name", F.when(F.col("l_returnflag") == "R", "return").otherwise("item")).select(
-        "*", F.row_number().over(by_order).alias("i"), F.row_number().over(kinds.orderBy(*LINE_ORDER)).alias("t"), F.count("*").over(kinds).alias("t_n"))
-    line_pre = F.col("o_pre") + 1 + 2 * (F.col("i") - 1)
-
-    totals = orders.groupBy("o_custkey").agg(F.sum(size).alias("nodes"), F.count("*").alias("of"))
-    owners = customers.join(totals, F.col("c_custkey") == F.col("o_custkey"), "left")
-    end = F.lit(1) + F.coalesce("nodes", F.lit(0))
-    one = F.lit(1)
-    html = F.lit(None).cast("string")
+    so_far, whole = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
+    is_return = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))
+    returns = F.count_if(is_return)
+    rows = placed.select(
+        F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_orderpriority", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", is_return.alias("is_return"),
+        F.col("l_orderkey").isNotNull().alias("is_line"), F.row_number().over(by_order).alias("i"), F.count("l_orderkey").over(by_order.rowsBetween(*whole)).alias("n"),
+        returns.over(by_order.rowsBetween(*so_far)).alias("r"), returns.over(by_order.rowsBetween(*whole)).alias("r_n"))
+    # An order's first row, or its only one if it has no lines, stands for the order too.
+    rows = rows.withColumn("is_order", ~F.col("is_line") | (F.col("i") == 1))
+    rows = rows.unionByName(customers.select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment", "n_name", F.lit(True).alias("is_customer")), allowMissingColumns=True)
+    by_customer = Window.partitionBy("doc_id").orderBy(F.col("is_customer").isNull(), "o_orderkey", "i")
+    size = F.when(F.col("is_order"), 1 + 2 * F.col("n")).otherwise(0)
+    orders = F.count_if("is_order")
+    rows = rows.select(
+        "*", orders.over(by_customer.rowsBetween(*so_far)).alias("k"), orders.over(by_customer.rowsBetween(*whole)).alias("of"),
+        F.sum(size).over(by_customer.rowsBetween(*so_far)).alias("nodes"), F.sum(size).over(by_customer.rowsBetween(*whole)).alias("all_nodes"))
+    parts = F.when(F.col("is_customer"), F.array(F.lit(0), F.lit(1))).when(~F.col("is_line"), F.array(F.lit(2))).when(F.col("is_order"), F.array(F.lit(2), F.lit(3), F.lit(4))).otherwise(F.array(F.lit(3), F.lit(4)))
+    rows = rows.withColumn("pre", F.col("nodes") + 1 - 2 * F.col("n")).withColumn("_part", F.explode(parts))
+
+    one, zero = F.lit(1), F.lit(0)
+    keyed = F.col("doc_id").isNotNull()  # a customer without a key has no orders
+    end = F.when(keyed, F.col("all_nodes")).otherwise(0) + 1
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    document = dict(root_id=zero, node_id=zero, pre=zero, last=end, depth=zero, sib_idx=zero, content_child_cnt=one, kind=F.lit("document"), node_type=F.lit(DOCUMENT))
     customer = dict(
-        node_id=one, parent_id=F.lit(0), parent_type=F.lit(DOCUMENT), pre=one, last=end, depth=one, sib_idx=F.lit(0), elem_idx=one, elem_cnt=one,
-        type_idx=one, type_cnt=one, content_child_cnt=F.coalesce("of", F.lit(0)), kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("customer"), namespace=html,
-        id=F.concat(F.lit("c"), F.col("c_custkey").cast("string")), class_tokens=F.array(F.lower("c_mktsegment")),
-        **_attributes([("id", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))), ("class", F.lower("c_mktsegment")), ("name", F.col("c_name")), ("nation", F.col("n_name"))]))
+        root_id=zero, node_id=one, parent_id=zero, parent_type=F.lit(DOCUMENT), pre=one, last=end, depth=one, sib_idx=zero, elem_idx=one, elem_cnt=one,
+        type_idx=one, type_cnt=one, content_child_cnt=F.when(keyed, F.col("of")).otherwise(0), kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("customer"),
+        id=key("c", "doc_id"), class_tokens=F.array(F.lower("c_mktsegment")),
+        **_attributes([("id", key("c", "doc_id")), ("class", F.lower("c_mktsegment")), ("name", F.col("c_name")), ("nation", F.col("n_name"))]))
+    order = dict(
+        root_id=zero, node_id=F.col("pre"), parent_id=one, parent_type=F.lit(ELEMENT), pre=F.col("pre"), last=F.col("pre") + 2 * F.col("n"),
+        depth=F.lit(2), sib_idx=F.col("k") - 1, elem_idx=F.col("k"), elem_cnt=F.col("of"), type_idx=F.col("k"), type_cnt=F.col("of"), content_child_cnt=F.col("n"),
+        kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("order"), id=key("o", "o_orderkey"), class_tokens=F.array(F.lower("o_orderstatus")),
+        **_attributes([("id", key("o", "o_orderkey")), ("class", F.lower("o_orderstatus")), ("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))]))
+    line_pre = F.col("pre") + 1 + 2 * (F.col("i") - 1)
+    of_name = lambda returned, item: F.when(F.col("is_return"), returned).otherwise(item)
     line = dict(
-        node_id=line_pre, parent_id=F.col("o_pre"), pre=line_pre, last=line_pre + 1, depth=F.lit(3), sib_idx=F.col("i") - 1, elem_idx=F.col("i"), elem_cnt=F.col("o_n"),
-        type_idx=F.col("t"), type_cnt=F.col("t_n"), content_child_cnt=one, kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.col("name"), namespace=html,
-        class_tokens=F.array().cast("array<string>"),
+        root_id=zero, node_id=line_pre, parent_id=F.col("pre"), parent_type=F.lit(ELEMENT), pre=line_pre, last=line_pre + 1, depth=F.lit(3), sib_idx=F.col("i") - 1, elem_idx=F.col("i"), elem_cnt=F.col("n"),
+        type_idx=of_name(F.col("r"), F.col("i") - F.col("r")), type_cnt=of_name(F.col("r_n"), F.col("n") - F.col("r_n")), content_child_cnt=one,
+        kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=of_name(F.lit("return"), F.lit("item")), class_tokens=F.array().cast("array<string>"),
         **_attributes([("flag", F.col("l_returnflag")), ("status", F.col("l_linestatus")), ("quantity", F.col("l_quantity").cast("int").cast("string"))]))
-    return (
-        _pairs(
-            owners, dict(doc_id=F.col("c_custkey"), root_id=F.lit(0)),
-            dict(node_id=F.lit(0), pre=F.lit(0), last=end, depth=F.lit(0), sib_idx=F.lit(0), content_child_cnt=one, kind=F.lit("document"), node_type=F.lit(DOCUMENT)), customer)
-        .unionByName(_shape(
-            orders, doc_id=F.col("o_custkey"), root_id=F.lit(0), node_id=F.col("pre"), parent_id=one, parent_type=F.lit(ELEMENT), pre=F.col("pre"), last=F.col("pre") + 2 * F.col("n"),
-            depth=F.lit(2), sib_idx=F.col("k") - 1, elem_idx=F.col("k"), elem_cnt=F.col("of"), type_idx=F.col("k"), type_cnt=F.col("of"), content_child_cnt=F.col("n"),
-            kind=F.lit("element"), node_type=F.lit(ELEMENT), local_name=F.lit("order"), namespace=html, id=F.concat(F.lit("o"), F.col("o_orderkey").cast("string")),
-            class_tokens=F.array(F.lower("o_orderstatus")),
-            **_attributes([("id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), ("class", F.lower("o_orderstatus")), ("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))])))
-        .unionByName(_pairs(
-            placed, dict(doc_id=F.col("o_custkey"), root_id=F.lit(0), parent_type=F.lit(ELEMENT)), line,
-            dict(node_id=line_pre + 1, parent_id=line_pre, pre=line_pre + 1, last=line_pre + 1, depth=F.lit(4), sib_idx=F.lit(0), content_child_cnt=F.lit(0), kind=F.lit("text"),
-                 node_type=F.lit(TEXT), value=F.col("l_partkey").cast("string"))))
-    )
+    text = dict(
+        root_id=zero, node_id=line_pre + 1, parent_id=line_pre, parent_type=F.lit(ELEMENT), pre=line_pre + 1, last=line_pre + 1, depth=F.lit(4), sib_idx=zero, content_child_cnt=zero,
+        kind=F.lit("text"), node_type=F.lit(TEXT), value=F.col("l_partkey").cast("string"))
+    return _nodes(rows, [document, customer, order, line, text])
 
 
 #: The same trees in SQL, from keys rather than intervals: cust, ord (with k, n,
