@@ -217,3 +217,18 @@ def test_order_trees_are_one_stream(spark, tmp_path):
     assert sorted(p for d, p in got if d == 2) == [0, 1] and sorted(p for d, p in got if d == 3) == [2, 3, 4]
     bare = {r["pre"]: r["last"] for r in tree.filter("doc_id is null").collect()}
     assert bare == {0: 1, 1: 1, 2: 4, 3: 4, 4: 4}
+
+
+def _pair_of_ranges(spark):
+    nodes = parse_pages(spark.createDataFrame([(1, "<p>ab</p><p>cd</p>")], "page_id long, html string"))
+    t = {r["value"]: r["node_id"] for r in nodes.filter("kind = 'text'").collect()}
+    rows = [(1, 1, t["ab"], 0, t["ab"], 2), (1, 1, t["ab"], 0, t["ab"], 2), (2, 1, t["cd"], 1, t["cd"], 1), (3, 1, 999, 0, t["cd"], 0)]
+    return nodes, spark.createDataFrame(rows, "range_id long, doc_id long, start_id long, start_off int, end_id long, end_off int")
+
+
+def test_compared_ends_only_are_placed(spark):
+    nodes, r = _pair_of_ranges(spark)
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "range_id long, other_id long")
+    out = ranges.compare_boundary_points(nodes, r, pairs, "end_to_end")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
+    assert sorted(tuple(x) for x in out.collect()) == [(1, 2, -1), (1, 2, -1), (2, 1, 1), (2, 1, 1), (2, 3, 1)]

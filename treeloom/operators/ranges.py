@@ -85,9 +85,10 @@ HOW = {"start_to_start": ("start", "start"), "start_to_end": ("end", "start"), "
 def compare_boundary_points(nodes: DataFrame, ranges: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
     """``pairs`` (range_id, other_id) with ``order``: -1, 0, 1; null in different trees."""
     mine, other = HOW[how]
-    placed = with_points(nodes, ranges)
-    a = placed.select("range_id", F.col(mine).alias("_a"))
-    b = placed.select(F.col("range_id").alias("other_id"), F.col(other).alias("_b"))
+    # Only the ends that are compared are placed.
+    at = lambda side: boundary_points(nodes, ranges.select("range_id", "doc_id", f"{side}_id", f"{side}_off"), f"{side}_id", f"{side}_off", "_at")
+    a = at(mine).select("range_id", F.col("_at").alias("_a"))
+    b = at(other).select(F.col("range_id").alias("other_id"), F.col("_at").alias("_b"))
     return pairs.join(a, "range_id").join(b, "other_id").select(*pairs.columns, order_of(F.col("_a"), F.col("_b")).alias("order"))
 
 
