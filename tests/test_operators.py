@@ -232,3 +232,12 @@ def test_compared_ends_only_are_placed(spark):
     out = ranges.compare_boundary_points(nodes, r, pairs, "end_to_end")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
     assert sorted(tuple(x) for x in out.collect()) == [(1, 2, -1), (1, 2, -1), (2, 1, 1), (2, 1, 1), (2, 3, 1)]
+
+
+def test_both_ends_are_placed_in_one_lookup(spark):
+    nodes, r = _pair_of_ranges(spark)
+    out = ranges.with_points(nodes, r)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
+    got = [(x["range_id"], x["start"] and x["start"]["off"], x["end"]["off"]) for x in out.collect()]
+    assert sorted(got, key=str) == [(1, 0, 2), (1, 0, 2), (2, 1, 1), (3, None, 0)]
+    assert out.columns == [*r.columns, "start", "end"]

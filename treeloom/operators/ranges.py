@@ -34,8 +34,19 @@ def order_of(a: Column, b: Column) -> Column:
 
 
 def with_points(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``ranges`` with the places start and end."""
-    return boundary_points(nodes, boundary_points(nodes, ranges, "start_id", "start_off", "start"), "end_id", "end_off", "end")
+    """``ranges`` with the places start and end.
+
+    Both ends of all ranges are looked up together, in one plan for both; equal ranges are looked up once.
+    """
+    columns = ranges.columns
+    sides = ("start", "end")
+    ends = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"{s}_id").cast("long").alias("id"), F.col(f"{s}_off").cast("int").alias("off")) for i, s in enumerate(sides)])
+    own = [c for c in columns if c != "doc_id"]
+    points = ranges.select("doc_id", F.struct(*own).alias("_range"), F.explode(ends).alias("_end")).select("doc_id", "_range", F.col("_end.side").alias("_side"), F.col("_end.id").alias("_node"), F.col("_end.off").alias("_off"))
+    placed = boundary_points(nodes, points, "_node", "_off", "_place")
+    met = placed.groupBy("doc_id", "_range").agg(F.count_if(F.col("_side") == 0).alias("_n"), *[F.max(F.when(F.col("_side") == i, F.col("_place"))).alias(s) for i, s in enumerate(sides)])
+    # Rows that are equal in all columns come back as often as they were.
+    return met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_range.{c}").alias(c) for c in columns], *sides)
 
 
 def create_range(nodes: DataFrame) -> DataFrame:
