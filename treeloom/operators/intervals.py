@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import merged
+
 TREE = ("doc_id", "root_id")
 
 
@@ -82,4 +84,4 @@ def nearest_ancestor(nodes: DataFrame, carriers: DataFrame, value: str, out: str
     """``nodes`` with ``out``: ``value`` of the nearest ancestor in ``carriers``, null without one."""
     keys = nodes.select("doc_id", "root_id", "node_id", "pre")
     found = enclosing(keys, carriers, {out: F.col(value)}, inclusive=inclusive, nearest=True)
-    return nodes.join(found.select("doc_id", "node_id", out), ["doc_id", "node_id"], "left")
+    return nodes.join(merged(found.select("doc_id", "node_id", out)), ["doc_id", "node_id"], "left")

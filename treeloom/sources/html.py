@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..schema import HTML, KINDS, NODES
+from ..session import merged
 from . import entities, tokenizer, tree_builder
 from .tree_builder import Node
 
@@ -168,8 +169,8 @@ def parse_distinct(pages: DataFrame, doc_id: str = "page_id", html: str = "html"
     rows = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html")).filter("doc_id is not null and html is not null")
     keyed = rows.select("doc_id", F.unhex(F.sha2("html", 256)).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("parsed_id"))
-    members = keyed.join(first, "digest").select("doc_id", "parsed_id")
-    texts = rows.join(first.select(F.col("parsed_id").alias("doc_id")), "doc_id", "left_semi")
+    members = keyed.join(merged(first), "digest").select("doc_id", "parsed_id")
+    texts = rows.join(merged(first.select(F.col("parsed_id").alias("doc_id"))), "doc_id", "left_semi")
     # Parsing costs far more than its bytes suggest, so the partitions are not merged by size.
     texts = texts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return parse_pages(texts, "doc_id", "html"), members
