@@ -98,7 +98,7 @@ def test_cases_are_registered():
     assert len(cases.STRUCTURE) < 100 and {"edit_structure", "parse_trees"} <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ("form_lang_en",))
+@pytest.mark.parametrize("name", ("form_lang_en", "form_read_write"))
 def test_forms_broadcast_nothing(spark, name):
     """Stored nodes are far larger in memory than in their files, by which a plan would take them for small."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

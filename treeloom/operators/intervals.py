@@ -54,7 +54,7 @@ def semi(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], more=None
         test = one if test is None else test & one
     if more:
         test = test & more[1]
-    return left.join(r, test, how)
+    return left.join(merged(r), test, how)
 
 
 def enclosing(nodes: DataFrame, scopes: DataFrame, out: dict[str, Column], *, inclusive: bool = True, nearest: bool = False) -> DataFrame:
