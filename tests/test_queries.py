@@ -103,3 +103,9 @@ def test_forms_broadcast_nothing(spark, name):
     """Stored nodes are far larger in memory than in their files, by which a plan would take them for small."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ("range_text",))
+def test_ranges_broadcast_nothing(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TEXT
+from ..session import merged
 
 POINT = "struct<root: bigint, pos: bigint, kind: int, inner: int, off: int>"
 
@@ -19,7 +20,7 @@ def boundary_points(nodes: DataFrame, points: DataFrame, node: str, offset: str,
     """``points`` (with doc_id, ``node``, ``offset``) with ``out``: the place of each boundary point."""
     n = nodes.select("doc_id", F.col("node_id").alias(node), F.col("root_id").alias("_root"), F.col("pre").alias("_pre"), F.col("last").alias("_last"), F.col("depth").alias("_depth"), F.col("node_type").alias("_type"))
     child = nodes.filter("parent_id is not null").select("doc_id", F.col("parent_id").alias(node), F.col("sib_idx").alias(offset), F.col("pre").alias("_child"))
-    joined = points.join(n, ["doc_id", node], "left").join(child.withColumn(offset, F.col(offset).cast(dict(points.dtypes)[offset])), ["doc_id", node, offset], "left")
+    joined = points.join(merged(n), ["doc_id", node], "left").join(merged(child.withColumn(offset, F.col(offset).cast(dict(points.dtypes)[offset]))), ["doc_id", node, offset], "left")
     text = F.col("_type").isin(TEXT, 8)
     place = F.struct(
         F.col("_root").alias("root"), F.when(text, F.col("_pre")).otherwise(F.coalesce("_child", F.col("_last") + 1)).alias("pos"),
@@ -120,7 +121,7 @@ def covered(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     r = with_points(nodes, ranges).select("range_id", F.col("doc_id").alias("_d"), "start", "end", "start_id", "start_off", "end_id", "end_off")
     is_text = F.col("node_type").isin(TEXT, 8)
     inside = (F.col("pre") >= F.col("start.pos")) & (F.col("pre") <= F.col("end.pos"))
-    met = nodes.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("start.root")) & (inside | ((F.col("pre") < F.col("start.pos")) & (F.col("last") >= F.col("start.pos")) & (F.col("last") < F.col("end.pos")))))
+    met = nodes.join(merged(r), (F.col("doc_id") == F.col("_d")) & (F.col("root_id") == F.col("start.root")) & (inside | ((F.col("pre") < F.col("start.pos")) & (F.col("last") >= F.col("start.pos")) & (F.col("last") < F.col("end.pos")))))
     a = F.when(F.col("node_id") == F.col("start_id"), F.col("start_off")).otherwise(0)
     b = F.when(F.col("node_id") == F.col("end_id"), F.col("end_off")).otherwise(F.char_length("value"))
     cut = F.substring("value", a + 1, F.greatest(b - a, F.lit(0)))
@@ -134,7 +135,7 @@ def to_text(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, text): the text inside each range, in order."""
     texts = covered(nodes, ranges).filter(F.col("node_type") == TEXT)
     found = texts.groupBy("range_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("text"))
-    return ranges.select("range_id").join(found, "range_id", "left").select("range_id", F.coalesce("text", F.lit("")).alias("text"))
+    return ranges.select("range_id").join(merged(found), "range_id", "left").select("range_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def delete_contents(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
