@@ -236,3 +236,14 @@ def test_both_ends_are_placed_in_one_lookup(spark):
     got = [(x["range_id"], x["start"] and x["start"]["off"], x["end"]["off"]) for x in out.collect()]
     assert sorted(got, key=str) == [(1, 0, 2), (1, 0, 2), (2, 1, 1), (3, None, 0)]
     assert out.columns == [*r.columns, "start", "end"]
+
+
+def test_compare_point_without_place(spark, nodes):
+    """Points of a range that is not there are left out, those without a place have no order; equal points come back as often as they were."""
+    p1 = _id(nodes, "p1")
+    r = spark.createDataFrame([(1, 1, p1, 0, p1, 2), (2, 1, 999, 0, 999, 0), (None, 1, p1, 0, p1, 1)], "range_id long, doc_id long, start_id long, start_off int, end_id long, end_off int")
+    points = spark.createDataFrame([(1, 1, p1, 1), (1, 1, p1, 1), (1, 1, 999, 0), (1, 1, p1, 3), (2, 1, p1, 0), (3, 1, p1, 0), (None, 1, p1, 0)], "range_id long, doc_id long, node_id long, off long")
+    out = ranges.compare_point(nodes, r, points)
+    assert out.columns == [*points.columns, "order"] and dict(out.dtypes)["off"] == "bigint"
+    got = sorted(((x["range_id"], x["node_id"], x["off"], x["order"]) for x in out.collect()), key=str)
+    assert got == sorted([(1, p1, 1, 0), (1, p1, 1, 0), (1, 999, 0, None), (1, p1, 3, 1), (2, p1, 0, None)], key=str)

@@ -105,7 +105,7 @@ def test_forms_broadcast_nothing(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ("range_text",))
+@pytest.mark.parametrize("name", ("range_text", "range_points"))
 def test_ranges_broadcast_nothing(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan

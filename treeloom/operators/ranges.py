@@ -7,7 +7,7 @@ Points compare as their structs, deeper containers first where they end together
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TEXT
@@ -105,11 +105,17 @@ def compare_boundary_points(nodes: DataFrame, ranges: DataFrame, pairs: DataFram
 
 
 def compare_point(nodes: DataFrame, ranges: DataFrame, points: DataFrame) -> DataFrame:
-    """``points`` (range_id, doc_id, node_id, off) with ``order``: -1 before, 0 in, 1 after the range."""
-    placed = with_points(nodes, ranges).select("range_id", "start", "end")
-    met = boundary_points(nodes, points, "node_id", "off", "_at").join(placed, "range_id")
-    before, after = order_of(F.col("_at"), F.col("start")), order_of(F.col("_at"), F.col("end"))
-    return met.select(*points.columns, F.when(before < 0, -1).when(after > 0, 1).when(before.isNotNull(), 0).alias("order"))
+    """``points`` (range_id, doc_id, node_id, off) with ``order``: -1 before, 0 in, 1 after the range; range ids are unique."""
+    # Ends and points are looked up together, as each lookup shuffles all nodes; a range's ends and points meet in one window.
+    side = lambda i, n, o: F.struct(F.lit(i).alias("_side"), F.col(n).cast("long").alias("_node"), F.col(o).cast("long").alias("_off"))
+    own = points.select("range_id", "doc_id", side(2, "node_id", "off").alias("_end"), F.struct(*points.columns).alias("_point"))
+    ends = ranges.select("range_id", "doc_id", F.explode(F.array(side(0, "start_id", "start_off"), side(1, "end_id", "end_off"))).alias("_end"))
+    both = own.unionByName(ends, allowMissingColumns=True).filter("range_id is not null").select("range_id", "doc_id", "_end.*", "_point")
+    of = Window.partitionBy("range_id")
+    end = lambda i, c: F.max(F.when(F.col("_side") == i, c)).over(of)
+    placed = boundary_points(nodes, both, "_node", "_off", "_at").withColumns({"_start": end(0, F.col("_at")), "_stop": end(1, F.col("_at")), "_known": end(0, F.lit(True))})
+    before, after = order_of(F.col("_at"), F.col("_start")), order_of(F.col("_at"), F.col("_stop"))
+    return placed.filter("_side = 2 and _known").select(*[F.col(f"_point.{c}").alias(c) for c in points.columns], F.when(before < 0, -1).when(after > 0, 1).when(before.isNotNull(), 0).alias("order"))
 
 
 def covered(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
