@@ -109,3 +109,13 @@ def test_forms_broadcast_nothing(spark, name):
 def test_ranges_broadcast_nothing(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_store_leaves_no_shuffles(spark):
+    """What was shuffled for a stored table is gone once it is written."""
+    from treeloom.session import store
+
+    files = lambda: {x for x in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    stored = store(spark.range(100).selectExpr("id % 7 as k").repartition("k"))
+    assert files() <= before and stored.count() == 100

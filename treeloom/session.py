@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(master: str | None = None, *, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; sizes are left to it and to the cluster's settings."""
@@ -54,7 +57,13 @@ def store(nodes: DataFrame, name: str = "nodes") -> DataFrame:
     """
     spark = nodes.sparkSession
     path = shared_folder(spark, name)
-    nodes.write.parquet(path)
+    # What was shuffled for the table is of no use once it is written, and else stays until the driver collects its garbage.
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        nodes.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
 
     def clean() -> None:
         try:
